@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table
 from lodestack.llm.quality import quality_rules
+from lodestack.llm.secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scans": op1_secret_scans,
     "op10_quality_rules": op10_quality_rules,
 }
 

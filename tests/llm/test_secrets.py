@@ -1,0 +1,72 @@
+import hashlib
+import re
+
+from lodestack.llm.secrets import redact, scan_secrets, with_spans
+from tests.llm import cases
+
+PATTERNS = [
+    ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def brute(text):
+    spans = [(m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(PATTERNS) for m in p.finditer(text or "") if ok(m)]
+    return sorted(spans)
+
+
+SECRETS = [
+    'token=token:abcdef and PassWord = "hunter22" \U0001f600 api_key: zz',
+    "AKIA" + "A" * 15 + " AKIA" + "B" * 16 + " AKIAAKIA" + "C" * 12,
+    "deadbeef" * 3 + " " + "0" * 23 + " secret='" + "ab12" * 6 + "'",
+    "token=ab token==abcdefg\nsecret : x\nAPIKEY=abc.def=",
+    "user=alice pwd: s3cr3t-x at db.example.com:5432",
+    "user=alice\n\npwd: s3cr3t-x at db.example.com:5432",
+    "user=alice " + "z " * 150 + "pwd: s3cr3t",
+    "see https://example.com/a and nothing else",
+    "password=" + "k" * 50000,
+    "token " * 3000,
+]
+
+
+def data():
+    base = cases.rows(20)
+    return base + [(100 + i, t, "en", "s0", len(t), 0, 0, "") for i, t in enumerate(SECRETS)]
+
+
+def test_base_spans_match_brute_force(spark, tmp_path):
+    got = scan_secrets(cases.stored(spark, tmp_path / "d", data())).collect()
+    texts = {}
+    for r in data():
+        texts.setdefault(r[0], []).append(r[1])
+    assert len(got) == len(data())
+    for r in got:
+        allowed = []
+        for t in texts[r.doc_id]:
+            b = brute(t)
+            line = ",".join(f"{n}:{s}:{e}" for s, _, n, e in b)
+            allowed.append((sum(x[2] == "assign" for x in b), sum(x[2] == "access" for x in b), sum(x[2] == "hex" for x in b), hashlib.sha256(line.encode()).hexdigest()))
+            if allowed[-1][3] == r.base_sha256:
+                assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) in allowed, r.doc_id
+
+
+def test_weak_parts_need_their_complement(spark, tmp_path):
+    got = {r.doc_id: r for r in scan_secrets(cases.stored(spark, tmp_path / "d", data())).collect()}
+    assert [s.split(":")[0] for s in got[104].spans.split(",")] == ["weak_id", "weak_secret", "endpoint"]
+    assert got[105].spans == "" and got[106].spans == "" and got[107].spans == ""
+
+
+def test_redaction_keeps_clean_rows(spark, tmp_path):
+    d = cases.stored(spark, tmp_path / "d", data())
+    out = redact(d)
+    assert out.columns == d.columns and out.count() == d.count()
+    by = {r.doc_id: r.text for r in out.collect()}
+    assert by[102] == "[SECRET] " + "0" * 23 + " [SECRET]'" and by[107] == SECRETS[7] and by[0] is None
+    assert not any(brute(t) for t in by.values() if t)
+
+
+def test_empty_table(spark, tmp_path):
+    d = cases.stored(spark, tmp_path / "d", [])
+    assert scan_secrets(d).count() == 0 and redact(d).count() == 0 and with_spans(d).columns[-1] == "_spans"
