@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table
+from lodestack.llm.neardup import jaccard_groups
 from lodestack.llm.quality import quality_rules
 from lodestack.llm.secrets import scan_secrets
 from lodestack.llm.warc import archive_and_read
@@ -18,6 +19,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive_and_read(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
