@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table
+from lodestack.llm.mixing import mix_sources
 from lodestack.llm.neardup import jaccard_groups
 from lodestack.llm.quality import quality_rules
 from lodestack.llm.secrets import scan_secrets
@@ -19,6 +20,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -45,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
+    "op3_mixing": op3_mixing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
