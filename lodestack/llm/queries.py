@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.llm.common import table
 from lodestack.llm.mixing import mix_sources
 from lodestack.llm.neardup import jaccard_groups
+from lodestack.llm.packing import pack_documents
 from lodestack.llm.quality import quality_rules
 from lodestack.llm.secrets import scan_secrets
 from lodestack.llm.warc import archive_and_read
@@ -25,6 +27,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The production tokenizer: its file and the same vocabulary as merge ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), *tokenizer_files()).withColumn("length", F.col("length").cast("long"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -52,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
