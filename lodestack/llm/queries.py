@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.chat import format_chats
 from lodestack.llm.common import table
+from lodestack.llm.langid import identify
 from lodestack.llm.media import media_columns
 from lodestack.llm.mixing import mix_sources
 from lodestack.llm.neardup import jaccard_groups
 from lodestack.llm.packing import pack_documents
 from lodestack.llm.quality import quality_rules
 from lodestack.llm.secrets import scan_secrets
+from lodestack.llm.urlfilter import filter_urls
 from lodestack.llm.warc import archive_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +57,18 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive_and_read(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -85,7 +95,9 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_media_columns": op5_media_columns,
+    "op6_url_filters": op6_url_filters,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
