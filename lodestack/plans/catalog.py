@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestack.plans import ingest_queries, lexical_queries, vector_queries  # noqa: F401  they register themselves
+from lodestack.plans.tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
