@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import operator
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 MAX_DEPTH, MAX_NODES, MAX_FIELDS, MAX_FIELD_BYTES = 32, 1024, 64, 127
 ENTRY = "struct<type:string,num:double,str:string,bool:boolean>"
+_BOUNDS = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 _SCALAR = (str, int, float, bool, type(None))
 
 
@@ -98,10 +100,9 @@ def compile_filter(node: dict, fields: list[str], over: str = "meta") -> Column:
             return F.exists(known(body["field"]), lambda e: F.coalesce(reduce(lambda a, b: a | b, [_equals(e, v) for v in values]), F.lit(False)))
         if op == "range":
             bounds = {k: v for k, v in body.items() if k != "field"} if isinstance(body, dict) else {}
-            if not bounds or not set(bounds) <= {"gt", "gte", "lt", "lte"} or any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in bounds.values()):
+            if not bounds or not set(bounds) <= set(_BOUNDS) or any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in bounds.values()):
                 raise ValueError("range needs a field and numeric bounds")
-            test = {"gt": lambda x, v: x > v, "gte": lambda x, v: x >= v, "lt": lambda x, v: x < v, "lte": lambda x, v: x <= v}
-            return F.exists(known(body.get("field")), lambda e: F.coalesce(reduce(lambda a, b: a & b, [test[k](e["num"], float(v)) for k, v in bounds.items()], e["type"] == "number"), F.lit(False)))
+            return F.exists(known(body.get("field")), lambda e: F.coalesce(reduce(lambda a, b: a & b, [_BOUNDS[k](e["num"], float(v)) for k, v in bounds.items()], e["type"] == "number"), F.lit(False)))
         raise ValueError(f"unknown node {op!r}")
 
     return build(node, 1)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.scoring import RRF
 
+COMPACT = (",", ":")
+
 
 def ranked(hits: DataFrame, key: str = "id") -> DataFrame:
     """hits (key, score) plus rank from 1. Candidate lists are bounded by candidate_k, so one partition ranks them."""
@@ -44,7 +46,7 @@ def page(hits: DataFrame, offset: int, limit: int, order: list[Column]) -> DataF
 
 
 def request_digest(request: dict) -> str:
-    return hashlib.sha256(json.dumps(request, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(request, separators=COMPACT, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
 def encode_cursor(generation: int, digest: str, offset: int) -> str:

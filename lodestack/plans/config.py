@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass, field
 from lodestack.functions.filters import MAX_FIELD_BYTES, MAX_FIELDS
 from lodestack.functions.scoring import METRICS
 
+COMPACT = (",", ":")
+
 
 @dataclass(frozen=True)
 class IndexConfig:
@@ -84,4 +86,4 @@ class SearchRequest:
 
     def digest(self) -> str:
         same = {k: v for k, v in asdict(self).items() if k in ("mode", "scope", "operator", "phrase", "limit", "query", "vector", "filter")}
-        return hashlib.sha256(json.dumps(same, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        return hashlib.sha256(json.dumps(same, separators=COMPACT, sort_keys=True).encode()).hexdigest()

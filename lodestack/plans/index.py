@@ -30,6 +30,7 @@ class ApplyResult:
     segment_ids: tuple[str, ...]
 
 
+DOCUMENT = "op id url title body metadata updated_at_unix_ms".split()
 EVENTS = "op string, id string, url string, title string, body string, metadata string, updated_at_unix_ms long, generation long"
 PASSAGES = "passage_id string, document_id string, ordinal int, start_char int, end_char int, text string, embedding array<float>, generation long"
 
@@ -124,7 +125,7 @@ class Index:
         if (counts["u"] or 0) + (counts["d"] or 0) != counts["n"] or duplicate_ids(ops).limit(1).count():
             raise ValueError("the batch holds unknown operations or an id twice")
         segment, g = f"segment-{uuid.uuid4().hex}", current + 1
-        events = ops.select("op", "id", "url", "title", "body", "metadata", "updated_at_unix_ms", F.lit(g).cast("long").alias("generation"))
+        events = ops.select(*DOCUMENT, F.lit(g).cast("long").alias("generation"))
         events.write.parquet(f"{self.folder}/{segment}/events")
         upserts = ops.where("op = 'upsert'")
         p = self.prepare(upserts)

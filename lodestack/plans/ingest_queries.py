@@ -18,7 +18,7 @@ from lodestack.sources import ingest
 
 def _lines(s, d):
     e, k = read(s, d, "events"), F.col("event_id") % 10
-    head = F.format_string('{"operation":"upsert","id":"%s","title":"%s"', F.col("user_id"), F.col("event_type"))
+    head = F.format_string('{"id":"%s","operation":"upsert","title":"%s"', F.col("user_id"), F.col("event_type"))
     tail = F.concat(F.lit(',"body":"b '), F.col("event_id").cast("string"), F.lit('","metadata":'), F.col("props"), F.lit("}"))
     value = (
         F.when(k == 3, F.concat(head, F.lit(',"extra":1'), tail))

@@ -174,4 +174,4 @@ _filter_query("filter_in", {"in": {"field": "source", "values": ["src1", "src5",
 _filter_query("filter_range", {"range": {"field": "n_chars", "gte": 500, "lt": 2000}}, "n_chars >= 500 AND n_chars < 2000")
 _filter_query("filter_exists", {"exists": {"field": "quality"}}, "quality IS NOT NULL")
 _filter_query("filter_not", {"not": {"eq": {"field": "quality", "value": 1}}}, "NOT coalesce(quality = 1, false)")
-_filter_query("filter_and_or", {"and": [{"or": [{"eq": {"field": "lang", "value": "de"}}, {"eq": {"field": "toxic", "value": 1}}]}, {"not": {"range": {"field": "n_chars", "gt": 3000}}}]}, "(lang = 'de' OR coalesce(toxic = 1, false)) AND NOT (n_chars > 3000)")
+_filter_query("filter_and_or", {"and": [{"or": [{"eq": {"field": "lang", "value": "de"}}, {"eq": {"field": "toxic", "value": 1}}]}, {"not": {"range": dict(field="n_chars", gt=3000)}}]}, "(lang = 'de' OR coalesce(toxic = 1, false)) AND NOT (n_chars > 3000)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import fnmatch
 import json
 import re
@@ -15,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BLOCK = {"p", "div", "section", "article", "header", "footer", "ul", "ol", "table", "tr", "br", "blockquote", "pre", "nav", "main", "title"}
-_SKIP = {"script", "style", "noscript"}
+_BLOCK = frozenset("p div section article header footer ul ol table tr br blockquote pre nav main title".split())
+_OPENS = {**dict.fromkeys(_BLOCK, "\n"), "li": "\n- ", **{f"h{n}": "\n" + n * "#" + " " for n in range(1, 7)}}
+_SKIP = frozenset("script style noscript".split())
 
 
 class _Html(HTMLParser):
@@ -28,17 +30,13 @@ class _Html(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
             self.skip += 1
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n" + "#" * int(tag[1]) + " ")
-        elif tag == "li":
-            self.out.append("\n- ")
-        elif tag in _BLOCK:
-            self.out.append("\n")
+        elif tag in _OPENS:
+            self.out.append(_OPENS[tag])
 
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag in _BLOCK or tag == "li" or re.fullmatch("h[1-6]", tag):
+        elif tag in _OPENS:
             self.out.append("\n")
 
     def handle_data(self, data):
@@ -71,12 +69,12 @@ def xml_text(text: str) -> str:
 
 def plain_text(raw: bytes) -> str:
     """Decoded text with line feeds; ValueError for binary content."""
-    for mark, codec in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if raw.startswith(mark):
-            return raw.decode(codec).replace("\r\n", "\n").replace("\r", "\n")
+    for codec, *marks in (("utf-8-sig", codecs.BOM_UTF8), ("utf-16", codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+        if raw.startswith(tuple(marks)):
+            return re.sub("\r\n?", "\n", raw.decode(codec))
     if b"\0" in raw[:8192]:
         raise ValueError("binary content")
-    return raw.decode().replace("\r\n", "\n").replace("\r", "\n")
+    return re.sub("\r\n?", "\n", raw.decode())
 
 
 #: suffix -> text of its content; callers may register more.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-UPSERT_KEYS = ["operation", "id", "url", "title", "body", "metadata", "updated_at_unix_ms", "vectors"]
+UPSERT_KEYS = "operation id url title body metadata updated_at_unix_ms vectors".split()
 MAX_ID, MAX_TITLE, MAX_URL, MAX_BODY = 255, 255, 8 << 10, 1 << 20
 MAX_BATCH = 10_000
 
@@ -48,7 +48,7 @@ def parse_ops(lines: DataFrame, column: str = "value") -> DataFrame:
     strings = typed("id", "STRING") & typed("url", "STRING") & typed("title", "STRING") & typed("body", "STRING")
     long = lambda c, n: F.octet_length(c) > n
     ragged = F.coalesce((F.size(F.array_distinct(F.transform("vectors", lambda x: F.size(x)))) > 1) | F.exists("vectors", lambda x: F.size(x) == 0), F.lit(False))
-    nul = F.contains(F.concat_ws("", "id", "url", "title", "body"), F.lit("\0"))
+    nul = F.contains(F.concat_ws("", *UPSERT_KEYS[1:5]), F.lit("\0"))
     error = (
         F.when(F.col("_v").isNull() | F.col("_keys").isNull(), "invalid_json")
         .when(~F.coalesce(F.col("op").isin("upsert", "delete"), F.lit(False)), "invalid_operation")

@@ -102,15 +102,19 @@ def test_cursors():
 FIELDS = ["author.name", "lang", "year"]
 
 
+def eq(field, value):
+    return {"eq": dict(field=field, value=value)}
+
+
 def test_filters(spark):
     rows = [("a", '{"author":{"name":"Ada"},"lang":"ja","year":2024}'), ("b", '{"author":{"name":"Bob"},"lang":["en","ja"],"year":2019}'), ("c", "{}"), ("d", '{"lang":[],"year":null,"author":{}}')]
     df = spark.createDataFrame(rows, "id string, metadata string").withColumn("meta", metadata_map(F.col("metadata"), FIELDS))
     run = lambda node: [r.id for r in df.where(compile_filter(node, FIELDS)).orderBy("id").collect()]
     assert df.where("id < 'd'").select(F.explode("meta")).select(F.explode("value")).count() == 7
-    assert run({"and": [{"eq": {"field": "lang", "value": "ja"}}, {"range": {"field": "year", "gte": 2020}}]}) == ["a"]
-    assert run({"in": {"field": "lang", "values": ["en", 1]}}) == ["b"] and run({"eq": {"field": "author.name", "value": "Bob"}}) == ["b"]
-    assert run({"exists": {"field": "lang"}}) == ["a", "b"] and run({"eq": {"field": "year", "value": None}}) == ["d"]
-    assert run({"not": {"eq": {"field": "lang", "value": "ja"}}}) == ["c", "d"] and run({"eq": {"field": "year", "value": "2024"}}) == []
+    assert run({"and": [eq("lang", "ja"), {"range": dict(field="year", gte=2020)}]}) == ["a"]
+    assert run({"in": {"field": "lang", "values": ["en", 1]}}) == ["b"] and run(eq("author.name", "Bob")) == ["b"]
+    assert run({"exists": {"field": "lang"}}) == ["a", "b"] and run(eq("year", None)) == ["d"]
+    assert run({"not": eq("lang", "ja")}) == ["c", "d"] and run(eq("year", "2024")) == []
     deep = {"exists": {"field": "lang"}}
     for _ in range(40):
         deep = {"not": deep}

@@ -12,6 +12,8 @@ from lodestack.streaming.ingest import stream_ingest
 
 OPS = "op string, id string, url string, title string, body string, metadata string, updated_at_unix_ms long, vectors array<array<float>>"
 MIB = 1 << 20
+X = [1.0] + [0.0]
+Y = X[::-1]
 
 
 def ops(spark, *rows):
@@ -71,17 +73,17 @@ def test_publish_conflict(spark, tmp_path):
 
 
 def test_hybrid_filter_scope_and_retrieve(spark, tmp_path):
-    config = IndexConfig(vectors=True, model_id="m", dimensions=2, filterable_fields=("category",))
+    config = IndexConfig(vectors=True, model_id="m", dimensions=2, filterable_fields=("kind",))
     ix = Index.create(spark, str(tmp_path / "ix"), config)
-    ix.apply(ops(spark, up("doc-fruit", "apple guide", "fresh apple", {"category": "fruit"}, [[1.0, 0.0]]), up("doc-tech", "apple computer", "technology", {"category": "tech"}, [[0.0, 1.0]])))
+    ix.apply(ops(spark, up("doc-fruit", "apple guide", "fresh apple", {"kind": "sweet"}, [X]), up("doc-tech", "apple computer", "technology", {"kind": "hard"}, [Y])))
     for mode in ("lexical", "vector", "hybrid"):
-        r = SearchRequest("apple", (1.0, 0.0), mode, filter={"eq": {"field": "category", "value": "fruit"}}, limit=1)
+        r = SearchRequest("apple", (1.0, 0.0), mode, filter={"eq": dict(field="kind", value="sweet")}, limit=1)
         assert ids(ix.search(r)) == ["doc-fruit"]
         assert [x.document_id for x in ix.search(SearchRequest("apple", (1.0, 0.0), mode, "passages", limit=1)).collect()] == ["doc-fruit"]
     one = ix.retrieve(SearchRequest("technology apple", (0.0, 1.0), limit=5)).first()
     assert one.context == "technology\n\nfresh apple" and one.citations[0].document_id == "doc-tech"
     with pytest.raises(ValueError):
-        ix.apply(ops(spark, up("bad", "t", "b", {}, [[1.0, 0.0], [0.0, 1.0]])))
+        ix.apply(ops(spark, up("bad", "t", "b", {}, [X, Y])))
     with pytest.raises(ValueError):
         SearchRequest("x", (1.0,), limit=5).check(config)
     answer = ix.response(SearchRequest("apple", (1.0, 0.0), limit=1))
@@ -108,7 +110,7 @@ def test_parsing(spark):
     tsv = spark.createDataFrame([("https://e.test/\tADD\tTitle\t4\tBody",), ("a\tADD\tT\t5\tBody",), ("a\tDELETE\t\t0\t",), ("a\tADD",)], "value string")
     t = ingest.parse_tsv(tsv).collect()
     assert (t[0].id, t[0].url, t[0].body) == ("https://e.test/", "https://e.test/", "Body") and [r.error for r in t] == [None, "body_length", None, "invalid_columns"]
-    batches = spark.createDataFrame([('{"operations":[{"operation":"delete","id":"a"},{"operation":"delete","id":"b"}]}',), ('{"operations":[]}',), ('{"x":1}',)], "value string")
+    batches = spark.createDataFrame([(json.dumps(dict(operations=[dict(id=x, operation="delete") for x in "ab"])),), ('{"operations":[]}',), ('{"x":1}',)], "value string")
     assert [r.id for r in ingest.parse_ops(ingest.parse_batch(batches)).orderBy("pos").collect()] == ["a", "b"]
 
 
@@ -135,10 +137,10 @@ def test_extractors():
 def test_stream_is_idempotent(spark, tmp_path):
     ix = Index.create(spark, str(tmp_path / "ix"), IndexConfig())
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text('{"operation":"upsert","id":"a","body":"one"}\nbroken\n{"operation":"upsert","id":"b","body":"two"}\n')
+    (tmp_path / "in" / "a.txt").write_text("\n".join([json.dumps(dict(id="a", body="one", operation="upsert")), "broken", json.dumps(dict(id="b", body="two", operation="upsert"))]))
     run = lambda: stream_ingest(spark.readStream.schema("value string").text(str(tmp_path / "in")), ix, str(tmp_path / "cp")).awaitTermination()
     run()
-    (tmp_path / "in" / "b.txt").write_text('{"operation":"delete","id":"a"}\n')
+    (tmp_path / "in" / "b.txt").write_text(json.dumps(dict(id="a", operation="delete")))
     run()
     g = ix.generation()
     assert ids(ix.documents()) == ["b"]
