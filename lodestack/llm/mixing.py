@@ -151,10 +151,11 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     """
     mixed = mix_sources(docs, weights, cap, seed).groupBy("doc_id", "size", "source").agg(F.sum("times").alias("_sum"), F.count("*").alias("_n")).where("_sum > 0")
     mixed = mixed.select(F.col("doc_id").alias("_d"), F.col("size").alias("_l"), F.col("source").alias("_s"), "_sum", "_n")
-    d = docs.withColumn("_size", n_words())
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(whole.alias("_row"), "doc_id", "source", n_words().alias("_size"))
     out = d.join(mixed, F.expr("doc_id <=> _d and _size = _l and source <=> _s"))
     same = out.where("_n = 1").withColumn("_times", F.col("_sum"))
     many = out.where("_n > 1").withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "_size", "source").orderBy(F.lit(0))))
     many = many.withColumn("_times", F.floor(F.col("_sum") / F.col("_n")) + F.when(F.col("_r") <= F.col("_sum") % F.col("_n"), 1).otherwise(0)).drop("_r")
     repeated = same.unionByName(many).where("_times > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long")))).select(*docs.columns)
+    return repeated.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long")))).select("_row.*")

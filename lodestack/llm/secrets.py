@@ -88,6 +88,12 @@ def with_spans(docs: DataFrame, reach: int = REACH, carry: list[str] | None = No
     Places are code points, ends exclusive. Null and empty texts have no spans; equal rows each get theirs;
     extra columns are carried along (once per row).
     """
+    found = _find(docs, reach, carry)
+    return found.select("_row.*", "_spans")
+
+
+def _find(docs: DataFrame, reach: int, carry: list[str] | None = None) -> DataFrame:
+    """(_row, _spans): docs' columns stay in a struct, so no name of theirs can clash."""
     kept = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns])
     d = docs.select(kept.alias("_row"), F.monotonically_increasing_id().alias("_id"), text_of().alias("_t"))
     signed = F.contains("_t", F.lit("=")) | F.contains("_t", F.lit(":"))
@@ -120,7 +126,7 @@ def with_spans(docs: DataFrame, reach: int = REACH, carry: list[str] | None = No
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     span = F.when(F.coalesce(base | linked, F.lit(False)), F.struct("start", rank.alias("rank"), "end", "kind", base.alias("base")))
     out = rows.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list(span)).alias("s"))
-    return out.select("_row.*", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"))).alias("_spans"))
+    return out.select("_row", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"))).alias("_spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -147,18 +153,19 @@ def redact(docs: DataFrame, reach: int = REACH, mark: str = "[SECRET]") -> DataF
     Rows without a candidate pass unchanged and unshuffled; a null text stays null.
     """
     may = F.coalesce(F.col("text").rlike(f"{_MAY_LINK}|{HEX}"), F.lit(False))
-    found = with_spans(docs.where(may), reach)
+    found = _find(docs.where(may), reach)
+    text = F.col("_row.text")
     merged = F.aggregate(
         "_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, x: F.struct(
             F.greatest(a["at"], x["end"].cast("long")).alias("at"),
-            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
+            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
         ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    new = F.when(F.size("_spans") > 0, merged).otherwise(F.col("text"))
-    found = found.withColumn("_new", new).withColumn("text", F.col("_new"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.where(~may).unionByName(found.select(*docs.columns))
+    found = found.withColumn("_new", F.when(F.size("_spans") > 0, merged).otherwise(text))
+    own = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_new")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return docs.where(~may).unionByName(found.select(*[c.alias(name) for name, c in own.items()]))

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, size long, rank string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _spans long, _size long, _new string"
 
 
 def rows(n: int = 60, seed: int = 7):
