@@ -77,6 +77,25 @@ def score(objects: DataFrame, terms: list[str], fields: list[str], key: str = "i
     return hits
 
 
+def score_many(objects: DataFrame, queries: DataFrame, fields: list[str], k: int, key: str = "id", boosts: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, key, score, rank) for a batch of queries (query_id, query): one pass over the objects for all of them.
+
+    Postings of terms that some query has are made once and joined to the queries by term; Spark broadcasts the query side only if
+    it is small. Each query's best k are taken by a ranked window over its own hits.
+    """
+    boosts = boosts or BOOSTS
+    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    occ = occurrences(objects, fields, key).join(wanted.select("term").distinct(), "term", "left_semi")
+    post = postings(occ, fields, key)
+    df = document_frequency(post)
+    post = post.join(df, "term").crossJoin(F.broadcast(corpus_stats(objects, fields)))  # one row
+    weight = reduce(lambda a, b: a + b, [field_weight(F.col(f"tf_{f}").cast("double"), F.col(f"len_{f}").cast("double"), F.col(f"tokens_{f}").cast("double") / F.col("n"), boosts[f]) for f in fields])
+    scored = post.select("term", key, bm25f(weight, F.col("n").cast("double"), F.col("df").cast("double")).alias("_s"))
+    hits = wanted.join(scored, "term").groupBy("query_id", key).agg(F.round(F.sum("_s"), 6).alias("score")).where("score > 0")
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key)))
+    return ranked.where(F.col("rank") <= k)
+
+
 def phrase_objects(objects: DataFrame, phrase: list[str], fields: list[str], key: str = "id") -> DataFrame:
     """Keys of objects in which the tokens follow one another in one field: places minus query places that agree for all tokens."""
     q = F.create_map(*[x for t in dict.fromkeys(phrase) for x in (F.lit(t), F.array(*[F.lit(i) for i, w in enumerate(phrase) if w == t]))])

@@ -40,3 +40,12 @@ def segment_health(segments: DataFrame, small: int) -> DataFrame:
     return segments.agg(
         F.count("*").alias("segments"), F.sum("documents").alias("documents"), F.sum("bytes").alias("bytes"), F.min("bytes").alias("min_bytes"), F.max("bytes").alias("max_bytes"), F.sum((F.col("bytes") < small).cast("long")).alias("small_segments")
     )
+
+
+def render_metrics(health: DataFrame, latency: DataFrame, prefix: str = "lodestack") -> str:
+    """Text exposition of segment_health (one row) and latency_histogram (a row per operation)."""
+    lines = [f"{prefix}_{k} {v}" for k, v in health.first().asDict().items()]
+    for r in latency.orderBy("op").collect():
+        lines += [f'{prefix}_request_ms_bucket{{op="{r.op}",le="{b}"}} {r[f"le_{b}"]}' for b in BUCKETS_MS]
+        lines += [f'{prefix}_request_ms_bucket{{op="{r.op}",le="+Inf"}} {r.le_inf}', f'{prefix}_request_ms_count{{op="{r.op}"}} {r.le_inf}', f'{prefix}_request_ms_sum{{op="{r.op}"}} {r.sum_ms}']
+    return "\n".join(lines) + "\n"

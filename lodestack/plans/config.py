@@ -64,11 +64,12 @@ class SearchRequest:
     w_vec: float = 1.0
     max_passages_per_document: int = 3
     max_context_bytes: int = 16384
+    stats_scope: str = "visible"
     extra: dict = field(default_factory=dict)
 
     def check(self, config: IndexConfig) -> "SearchRequest":
         """self, or ValueError."""
-        if self.mode not in ("lexical", "vector", "hybrid") or self.scope not in ("documents", "passages") or self.operator not in ("or", "and"):
+        if self.mode not in ("lexical", "vector", "hybrid") or self.scope not in ("documents", "passages") or self.operator not in ("or", "and") or self.stats_scope not in ("visible", "physical"):
             raise ValueError("unknown mode, scope or operator")
         if not 1 <= self.limit <= 100 or not 0 <= self.offset <= 10000:
             raise ValueError("limit is 1 to 100, offset 0 to 10000")

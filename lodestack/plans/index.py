@@ -14,7 +14,7 @@ from lodestack.functions.filters import compile_filter, metadata_map
 from lodestack.functions.text import query_tokens, sentence_passages, snippet_window
 from lodestack.operators import fusion, lexical, vector, versions
 from lodestack.plans.config import IndexConfig, SearchRequest
-from lodestack.sources.ingest import MAX_BATCH, duplicate_ids
+from lodestack.sources.ingest import duplicate_ids, parse_ops
 
 
 class GenerationConflict(RuntimeError):
@@ -48,6 +48,18 @@ class Index:
         index._publish(0, {"generation": 1, "config": config.fingerprint(), "segments": [], "batch_id": None})
         return index
 
+    @classmethod
+    def build(cls, spark: SparkSession, folder: str, config: IndexConfig, lines: DataFrame) -> "Index":
+        """A new index from NDJSON upserts (column value), made aside and renamed when whole; ValueError if a line is anything else."""
+        aside = f"{folder}.{uuid.uuid4().hex}.building"
+        index = cls.create(spark, aside, config)
+        ops = parse_ops(lines.select("value"))
+        if ops.where("error is not null or op <> 'upsert'").limit(1).count():
+            raise ValueError("a build takes valid upserts only")
+        index.apply(ops)
+        os.rename(aside, folder)
+        return cls(spark, folder, config)
+
     # -- manifests
 
     def generation(self) -> int:
@@ -213,12 +225,15 @@ class Index:
         passages = self.passages()
         k = request.candidate_k
         none = self.spark.createDataFrame([], "id string, score double")
+        counted = docs
+        if request.stats_scope == "physical":  # stale and deleted versions count until they are compacted away
+            counted = self.events().where("op = 'upsert'").withColumn("id", F.concat_ws("@", "id", "generation"))
         lex, vec = none, none
         if request.mode != "vector":
             terms = query_tokens(request.query)
             phrase = terms if request.phrase else None
             if request.scope == "documents":
-                hits = lexical.score(allowed, terms, ["title", "body"], operator=request.operator, phrase=phrase, stats_over=docs)
+                hits = lexical.score(allowed, terms, ["title", "body"], operator=request.operator, phrase=phrase, stats_over=counted)
             else:
                 objects = passages.select(F.col("passage_id").alias("id"), "document_id", F.col("text").alias("passage"))
                 mine = objects.join(allowed.select(F.col("id").alias("document_id")), "document_id", "left_semi")

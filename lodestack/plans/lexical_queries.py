@@ -12,7 +12,6 @@ from lodestack.plans.tables import DOCS, FIELDS, META, OCC, PASS, POST, STATS, T
 
 AREA = ["title", "body"]
 Q = ["the", "and", "token"]
-LIKE = "id" and "doc_id"
 
 
 @query("normalize_lower", f"WITH {DOCS} SELECT doc_id, lower(title) AS norm FROM docs")
@@ -105,6 +104,20 @@ def bm25f_filtered(s, d):
     return _top(lexical.score(corpus(s, d), Q, AREA, "doc_id", where=(F.col("lang") == "en") & (F.col("n_chars") >= 500), stats_over=corpus(s, d)))
 
 
+_BATCH = (
+    f"WITH {POST}, {STATS}, qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(left(text, 120)), '{WORDS}')) AS term FROM benchmark), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), "
+    "w AS (SELECT query_id, doc_id, df, n, (CASE WHEN tf_title > 0 THEN 2e0 * tf_title / (0.25e0 + 0.75e0 * len_title / (tokens_title::DOUBLE / n)) ELSE 0e0 END + CASE WHEN tf_body > 0 THEN 1e0 * tf_body / (0.25e0 + 0.75e0 * len_body / (tokens_body::DOUBLE / n)) ELSE 0e0 END) AS w FROM post JOIN qt USING (term) JOIN dfs USING (term), st) "
+    "SELECT query_id, doc_id, round(sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * w * 2.2e0 / (1.2e0 + w)), 6) AS score FROM w GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"
+)
+
+
+@query("batch_bm25f", _BATCH)
+def batch_bm25f(s, d):
+    """Every benchmark passage's first 120 code points as a query."""
+    q = read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 120).alias("query"))
+    return lexical.score_many(corpus(s, d), q, AREA, 10, "doc_id").select("query_id", "doc_id", "score")
+
+
 _PASSAGE_SQL = (
     f"WITH {PASS}, tk AS (SELECT passage_id, doc_id, regexp_extract_all(lower(text), '{WORDS}') AS t FROM ps), st AS (SELECT count(*) AS n, sum(len(t))::DOUBLE / count(*) AS avg FROM tk), "
     "p AS (SELECT passage_id, doc_id, term, count(*) AS tf, max(l) AS l FROM (SELECT passage_id, doc_id, unnest(t) AS term, len(t) AS l FROM tk) WHERE term IN ('stupid', 'the') GROUP BY ALL), "

@@ -152,3 +152,31 @@ def test_windows_cover_texts(spark):
     df = spark.createDataFrame([("x" * n,) for n in (0, 1, 400, 401, 1100)], "t string")
     for r in df.select("t", window_passages(df["t"]).alias("p")).collect():
         assert r.p[0].start_char == 0 and r.p[-1].end_char == len(r.t) and all(len(x.text) == x.end_char - x.start_char for x in r.p)
+
+
+def test_build_and_command_line(spark, tmp_path, capsys):
+    from lodestack.cli import main
+
+    good = [json.dumps(dict(id=f"d{i}", body=f"common words {i}", title="t", operation="upsert")) for i in range(5)]
+    (tmp_path / "ok.ndjson").write_text("\n".join(good))
+    (tmp_path / "del.ndjson").write_text(json.dumps(dict(id="d1", operation="delete")))
+    at = ["--index", str(tmp_path / "ix")]
+    with pytest.raises(ValueError):
+        main(["build", str(tmp_path / "del.ndjson"), *at], spark)
+    assert not (tmp_path / "ix").exists()
+    assert main(["build", str(tmp_path / "ok.ndjson"), *at], spark) == 0 and main(["update", str(tmp_path / "del.ndjson"), *at], spark) == 0
+    capsys.readouterr()
+    assert main(["search", "common", *at, "--limit", "2"], spark) == 0
+    answer = json.loads(capsys.readouterr().out)
+    assert [h["id"] for h in answer["hits"]] == ["d0", "d2"] and answer["next_cursor"]
+    assert main(["compact", *at], spark) == 0 and main(["verify", *at], spark) == 0
+
+
+def test_physical_statistics_return_after_compaction(spark, tmp_path):
+    ix = Index.create(spark, str(tmp_path / "ix"), IndexConfig())
+    ix.apply(ops(spark, up("a", "t", "red words"), up("b", "t", "blue words")))
+    ix.apply(ops(spark, up("a", "t", "red things")))
+    score = lambda scope: ix.search(SearchRequest("red", mode="lexical", stats_scope=scope)).first().lexical_score
+    assert score("physical") != score("visible")
+    ix.compact()
+    assert score("physical") == score("visible")
