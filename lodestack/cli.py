@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import sys
 
 from pyspark.sql import SparkSession
 
@@ -58,4 +57,4 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

@@ -3,14 +3,39 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per application, so that they need no path of the driver's."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # else it runs from an archive that was shipped already
+        folder = tempfile.mkdtemp(prefix="lodestack-code-")  # the driver serves it to the executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "lodestack.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("lodestack", os.path.relpath(full, package)))
+        sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (single-machine tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -48,6 +73,7 @@ def cleanup() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once below the shared folder and read it back: computed once, and safe against lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
