@@ -16,7 +16,7 @@ from lodestack.llm.packing import pack_documents
 from lodestack.llm.quality import keep_good
 from lodestack.llm.queries import tokenizer_files
 from lodestack.llm.secrets import redact
-from lodestack.storage import materialize
+from lodestack.storage import materialize, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,21 +26,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship(spark)
     return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets and linked credentials are replaced in the texts; no document goes."""
+    ship(spark)
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out until every source has its target of words."""
+    ship(spark)
     return apply_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and place in it."""
+    ship(spark)
     return pack_documents(docs, *tokenizer_files())
 
 
