@@ -1,9 +1,9 @@
 """Chat formatting with a grammar round trip.
 
-A conversation is rendered as turns ``<|im_start|>role\\ntext<|im_end|>\\n``. Texts that hold control strings are escaped
+A conversation is rendered as turns ``<|im_start|>role\\ntext<|im_end|>\\n``. Texts that hold control strings (``<|word|>``) are escaped
 reversibly: one backslash is put after the ``<`` of every ``<``, backslashes, ``|``, and taken out again when it is read. Each
-turn is first rendered as it is and parsed by a deterministic parser; only if the recovered role and text
-differ from the source is it escaped, and the escaped form must then parse back to the source.
+turn is first rendered as it is and parsed by a deterministic parser, whose grammar has no control string inside a turn; only if it can't be
+parsed, or the recovered role and text differ from the source, is it escaped, and the escaped form must then parse back to the source.
 
 Turns are independent, so rendering and parsing run before anything is shuffled. One conversation's digest needs its turns in order:
 they are sorted by Spark within partitions and streamed, so a conversation of any length takes constant memory.
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
+#: Whatever looks like a control string, of this template or another.
+_CONTROL = re.compile(r"<\|[A-Za-z0-9_]+\|>")
 
 
 def escape(text: str) -> str:
@@ -39,14 +40,18 @@ def _unescape_role(role: str) -> str:
 
 
 def parse(rendered: str) -> list[tuple[str, str]]:
-    """The (role, text) turns of rendered text, unescaped; ValueError if it isn't made of whole turns."""
+    """The (role, text) turns of rendered text, unescaped. ValueError unless it is made of whole turns whose roles and texts
+    hold no control string."""
     out, at = [], 0
     while at < len(rendered):
-        m = _TURN.match(rendered, at)
-        if not m:
-            raise ValueError(f"no turn at {at}")
-        out.append((_unescape_role(m[1]), unescape(m[2])))
-        at = m.end()
+        line = rendered.find("\n", at)
+        if line < 0 or not rendered.startswith(START, at) or _CONTROL.search(rendered, at + len(START), line):
+            raise ValueError(f"no turn begins at {at}")
+        stop = _CONTROL.search(rendered, line + 1)
+        if not stop or stop[0] != STOP or not rendered.startswith("\n", stop.end()):
+            raise ValueError(f"the turn at {at} doesn't end")
+        out.append((_unescape_role(rendered[at + len(START) : line]), unescape(rendered[line + 1 : stop.start()])))
+        at = stop.end() + 1
     return out
 
 

@@ -19,6 +19,9 @@ def test_turns_round_trip(role, text):
 
 
 def test_forged_turns_are_escaped_and_broken_text_is_refused():
+    assert all(render_turn("user", t)[1] for t in BAD[:5]) and render_turn("user", "a <|endoftext|> b")[1]
+    form = render_turn("user", BAD[0])[0]
+    assert form.count("<|im_end|>") == form.count("<|im_start|>") == 1
     assert render_turn("user", BAD[4])[1] and not render_turn("user", "plain | text")[1]
     with pytest.raises(ValueError):
         parse("<|im_start|>user\nno end")
