@@ -5,7 +5,7 @@ more characters), ``access`` (AKIA identifiers of 20 or more) and ``hex`` (runs
 
 A further scan finds *parts* of credentials: the base kinds again, and weak candidates that alone would be noise:
 ``weak_id`` (user or client names, short access identifiers), ``weak_secret`` (pass phrases, bare 40-character
-keys, hex runs of 16 to 23) and ``endpoint`` (URLs, host:port). Parts are joined by their intervals inside a scope, a paragraph
+keys, mixed hex runs of 16 to 23) and ``endpoint`` (URLs, host:port). Parts are joined by their intervals inside a scope, a paragraph
 between blank lines: two parts co-occur if at most ``reach`` code points lie between them. A weak identifier is reported only
 beside a secret, a weak secret only beside an identifier, an endpoint only beside both.
 
@@ -37,7 +37,7 @@ _PARTS = {
     "weak_id": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{4,15}|(?i:(?<![a-z0-9])(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)" + _VALUE + r"[A-Za-z0-9+/_.@-]{3,})",
     "weak_secret": r"(?i:(?<![a-z0-9])(?:pwd|pass|pass_?phrase|credentials?|auth|private_?key)" + _VALUE + r"[A-Za-z0-9+/_.=-]{4,})"
     + r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
-    + r"|(?<![A-Za-z0-9])(?=[a-f]{0,22}[0-9])[0-9a-f]{16,23}(?![A-Za-z0-9])",
+    + r"|(?<![A-Za-z0-9])(?=[a-f]{0,22}[0-9])(?=[0-9]{0,22}[a-f])[0-9a-f]{16,23}(?![A-Za-z0-9])",
     "endpoint": r"""(?<![A-Za-z0-9])(?i:https?|s3|jdbc:[a-z]{2,12}|postgres|mysql|redis|ftp)://[^\s"'<>]{4,}|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9])""",
 }
 _ANY = "|".join(f"(?:{p})" for p in _PARTS.values())
