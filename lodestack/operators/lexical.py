@@ -21,14 +21,12 @@ BLOCK = 128
 
 def occurrences(objects: DataFrame, fields: list[str], key: str = "id", terms: list[str] | None = None) -> DataFrame:
     """(key, field, pos, term, field_len) for every token, or only for ``terms`` (filtered before the rows are made)."""
-    parts = []
-    for f in fields:
-        t = objects.select(key, F.lit(f).alias("field"), tokens(F.col(f)).alias("_t"))
-        pairs = F.transform("_t", lambda x, i: F.struct(i.alias("pos"), x.alias("term")))
-        if terms is not None:
-            pairs = F.filter(pairs, lambda p: p["term"].isin(terms))
-        parts.append(t.select(key, "field", F.size("_t").alias("field_len"), F.inline(pairs)))
-    return reduce(DataFrame.unionByName, parts).select(key, "field", "pos", "term", "field_len")
+    t = objects.select(key, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
+    arrays = []
+    for i, f in enumerate(fields):
+        pairs = F.transform(f"_t{i}", _placed(f, f"_t{i}"))
+        arrays.append(pairs if terms is None else F.filter(pairs, lambda p: p["term"].isin(terms)))
+    return t.select(key, F.inline(F.concat(*arrays)))
 
 
 def corpus_stats(objects: DataFrame, fields: list[str]) -> DataFrame:
@@ -52,8 +50,9 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 
 def score(objects: DataFrame, terms: list[str], fields: list[str], key: str = "id", boosts: dict[str, float] | None = None, operator: str = "or", phrase: list[str] | None = None, where: Column | None = None, stats_over: DataFrame | None = None) -> DataFrame:
-    """(key, score, matched): objects with a positive BM25F score under ``operator``, and the phrase if one is given.
+    """(key, score, matched): objects (one row per key) with a positive BM25F score under ``operator``, and the phrase if one is given.
 
+    Two scans and no shuffle: one aggregates the statistics to one row, the other scores rows in place.
     ``where`` filters objects (it is pushed below tokenising); statistics are those of ``stats_over`` (default: objects before ``where``).
     """
     boosts = boosts or BOOSTS
@@ -61,15 +60,20 @@ def score(objects: DataFrame, terms: list[str], fields: list[str], key: str = "i
     everything = stats_over if stats_over is not None else objects
     if not distinct:
         return objects.where(F.lit(False)).select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"))
-    occ = occurrences(everything, fields, key, distinct)
-    df = document_frequency(occ.select("term", key).distinct())
-    stats = corpus_stats(everything, fields)
     mine = objects if where is None else objects.where(where)
-    occ_mine = occ if where is None and stats_over is None else occurrences(mine, fields, key, distinct)
-    post = postings(occ_mine, fields, key).join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row per query term; one row
-    weight = reduce(lambda a, b: a + b, [field_weight(F.col(f"tf_{f}").cast("double"), F.col(f"len_{f}").cast("double"), F.col(f"tokens_{f}").cast("double") / F.col("n"), boosts[f]) for f in fields])
-    post = post.withColumn("_s", bm25f(weight, F.col("n").cast("double"), F.col("df").cast("double")))
-    hits = post.groupBy(key).agg(F.round(F.sum("_s"), 6).alias("score"), F.count("*").alias("matched")).where("score > 0")
+    some = lambda i: reduce(lambda a, b: a | b, [F.size(F.filter(f"_q_{f}", _is(distinct[i]))) > 0 for f in fields])
+    totals = [F.coalesce(F.sum(f"len_{f}"), F.lit(0)).cast("double").alias(f"tokens_{f}") for f in fields]
+    stats = _query_tokens(everything, distinct, fields, key).agg(F.count("*").cast("double").alias("n"), *totals, *[F.sum(some(i).cast("long")).cast("double").alias(f"df_{i}") for i in range(len(distinct))])
+    rows = _query_tokens(mine, distinct, fields, key).where(reduce(lambda a, b: a | b, [F.size(f"_q_{f}") > 0 for f in fields]))
+    rows = rows.crossJoin(F.broadcast(stats))  # one row: a second scan instead of a shuffle
+    parts = []
+    for i, term in enumerate(distinct):
+        tf = {f: F.size(F.filter(f"_q_{f}", _is(term))).cast("double") for f in fields}
+        weight = reduce(lambda a, b: a + b, [field_weight(tf[f], F.col(f"len_{f}").cast("double"), F.col(f"tokens_{f}") / F.col("n"), boosts[f]) for f in fields])
+        parts.append(F.struct(weight.alias("w"), F.col(f"df_{i}").alias("df")))
+    rows = rows.select(key, "n", F.filter(F.array(*parts), lambda p: p["w"] > 0).alias("_p"))
+    total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + bm25f(p["w"], F.col("n"), p["df"]))
+    hits = rows.select(key, F.round(total, 6).alias("score"), F.size("_p").cast("long").alias("matched")).where("score > 0")
     if operator == "and" or phrase:
         hits = hits.where(F.col("matched") == len(distinct))
     if phrase:
@@ -77,6 +81,20 @@ def score(objects: DataFrame, terms: list[str], fields: list[str], key: str = "i
     return hits
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
+def _placed(field: str, column: str):
+    return lambda x, at: F.struct(F.lit(field).alias("field"), at.alias("pos"), x.alias("term"), F.size(column).alias("field_len"))
+
+
+def _query_tokens(objects: DataFrame, terms: list[str], fields: list[str], key: str) -> DataFrame:
+    """key, len_<field> and the query's tokens of each field (``_q_<field>``)."""
+    t = objects.select(key, *[tokens(F.col(f)).alias(f"_t_{f}") for f in fields])
+    return t.select(key, *[F.size(f"_t_{f}").alias(f"len_{f}") for f in fields], *[F.filter(f"_t_{f}", lambda x: x.isin(terms)).alias(f"_q_{f}") for f in fields])
+
+
 def score_many(objects: DataFrame, queries: DataFrame, fields: list[str], k: int, key: str = "id", boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, key, score, rank) for a batch of queries (query_id, query): one pass over the objects for all of them.
 
