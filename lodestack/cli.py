@@ -1,7 +1,7 @@
 """Command line: prepare, build, update, verify, search, compact.
 
-    python -m lodestack.cli build --index DIR FILE.ndjson
-    python -m lodestack.cli search --index DIR "words to find" --mode lexical --limit 5
+    python -m lodestack build --index DIR FILE.ndjson
+    python -m lodestack search --index DIR "words to find" --mode lexical --limit 5
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "verify":
         broken = index.verify()
         print(json.dumps(broken))
-        return int(bool(broken))
+        return int(bool(broken))  # the exit status
     elif a.command == "compact":
         print(json.dumps(index.compact()))
     else:
@@ -54,7 +54,3 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         request = SearchRequest(a.what, vector, a.mode, a.scope, a.operator, a.phrase, json.loads(a.filter) if a.filter else None, a.limit)
         print(json.dumps(index.response(request), ensure_ascii=False))
     return 0
-
-
-if __name__ == "__main__":
-    raise SystemExit(main())

@@ -161,6 +161,23 @@ def write_shards(rows: DataFrame, folder: str, per_file: int) -> None:
     rows.write.option("maxRecordsPerFile", per_file).json(folder)
 
 
+def convert(files: DataFrame, folder: str, collection: str, part_bytes: int = 1 << 20, per_file: int = 10_000, extractors: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
+    """Turn files (path, content) into document shards and a failure shard; returns the manifest (kind, documents, bytes).
+
+    Long texts become several documents with stable ids. A file that can't be read fails alone.
+    """
+    from lodestack.functions.text import split_body, stable_document_id
+    from lodestack.storage import materialize
+
+    done = materialize(extract(files, extractors=extractors), "extracted")
+    parts = done.where("error is null").select("path", F.posexplode(split_body(part_bytes)("text")).alias("part", "body"))
+    docs = parts.select(F.lit("upsert").alias("operation"), stable_document_id(collection, F.col("path"), F.col("part")).alias("id"), F.col("path").alias("url"), "body")
+    write_shards(docs, f"{folder}/documents", per_file)
+    write_shards(done.where("error is not null").select("path", "error"), f"{folder}/failures", per_file)
+    good = docs.agg(F.lit("documents").alias("kind"), F.count("*").alias("documents"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).cast("long").alias("bytes"))
+    return good.unionByName(done.where("error is not null").agg(F.lit("failures").alias("kind"), F.count("*").alias("documents"), F.lit(0).cast("long").alias("bytes")))
+
+
 def embedding_prompt(title: Column, text: Column) -> Column:
     return F.concat(F.lit("title: "), F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("none")), F.lit(" | text: "), text)
 

@@ -157,6 +157,27 @@ def embed(passages: DataFrame, transport: Callable, batch: int = 1024, **options
     return passages.select("passage_id", "text").mapInPandas(run, "passage_id string, text string, embedding array<double>")
 
 
+def embed_resumable(passages: DataFrame, folder: str, settings: str, transport: Callable, shards: int = 16, **options) -> DataFrame:
+    """embed(), one written table per shard: shards that an earlier run finished are kept, and other settings are a ValueError.
+
+    A shard counts as finished once its write has committed, so a run that was cut off repeats that shard only.
+    """
+    spark = passages.sparkSession
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda path: fs.exists(jvm.org.apache.hadoop.fs.Path(path))
+    if there(f"{folder}/settings"):
+        if spark.read.text(f"{folder}/settings").first()[0] != settings:
+            raise ValueError("the folder holds embeddings made with other settings")
+    else:
+        spark.createDataFrame([(settings,)], "value string").coalesce(1).write.text(f"{folder}/settings")
+    for k in range(shards):
+        if not there(f"{folder}/shard={k}/_SUCCESS"):
+            part = passages.where(F.pmod(F.xxhash64("passage_id"), F.lit(shards)) == k)
+            embed(part, transport, **options).write.mode("overwrite").parquet(f"{folder}/shard={k}")
+    return spark.read.parquet(*[f"{folder}/shard={k}" for k in range(shards)])
+
+
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of every key in this order."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
