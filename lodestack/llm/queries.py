@@ -112,7 +112,32 @@ FROM p LEFT JOIN f USING (d)
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_rules(docs, table(spark, sf_dir, "labels", "doc_id", "quality")).drop("failed_rules")
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS st, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
+twice AS (SELECT id, g FROM win GROUP BY id, g HAVING count(*) > 1),
+rep AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (id, g)) GROUP BY id),
+b AS (SELECT t.doc_id, st, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_distinct(w)) AS n_distinct, length(regexp_replace(x, '[^!?~^=+@{}\[\]\/|#*$%&<>]+', '', 'g')) AS n_marks FROM t LEFT JOIN rep ON t.id = rep.id),
+s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  CASE WHEN word_chars > 0 THEN least(ceil(n_symbols * 1000 / word_chars), 1000) ELSE 0 END AS symbols, CASE WHEN word_chars > 0 THEN least(ceil(n_marks * 1000 / word_chars), 1000) ELSE 0 END AS marks,
+  CASE WHEN n_lines > 0 THEN least(ceil(n_dup_lines * 1000 / n_lines), 1000) ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN least(ceil(250 * sqrt(n_words) / n_distinct), 1000) ELSE 0 END AS few_words FROM b),
+good AS (SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+l AS (SELECT st, 'symbols' AS rule, symbols AS v FROM good UNION ALL SELECT st, 'marks', marks FROM good UNION ALL SELECT st, 'dup_lines', dup_lines FROM good UNION ALL SELECT st, 'few_words', few_words FROM good),
+per AS (SELECT st, rule, count(*) AS n FROM l GROUP BY st, rule),
+lv AS (SELECT 0.05e0 / (count(DISTINCT st) * 4) AS lvl FROM good),
+ks AS (SELECT st, rule, max(k) AS k FROM (SELECT st, rule, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.005e0) + (n - k) * ln(0.995e0))) OVER (PARTITION BY st, rule ORDER BY k) AS c
+  FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM per)), lv WHERE c <= lvl GROUP BY st, rule),
+h AS (SELECT st, rule, v, sum(count(*)) OVER (PARTITION BY st, rule ORDER BY v DESC) AS above FROM l GROUP BY st, rule, v),
+cut AS (SELECT st, rule, coalesce(max(v) FILTER (above > k), 0) AS c FROM h JOIN ks USING (st, rule) GROUP BY st, rule)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.st = s.st AND CASE rule WHEN 'symbols' THEN symbols WHEN 'marks' THEN marks WHEN 'dup_lines' THEN dup_lines ELSE few_words END > c) AS kept
+FROM s
+"""
 
 
 QUERIES: dict[str, Query] = {
@@ -132,4 +157,5 @@ ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
     "op7_ngram_jaccard": OP7_SQL,
     "op9_warc": OP9_SQL,
+    "op10_quality_rules": OP10_SQL,
 }
