@@ -11,13 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
+#: The same runs; the JVM tests its ASCII part by a bit set first.
+JVM_TOKEN = r"[a-z0-9\p{L}\p{M}\p{N}]+"
 CHUNK_MAX, CHUNK_OVERLAP = 1200, 200
 CHUNKS = "array<struct<ordinal:int,start_char:int,end_char:int,text:string,passage_id:string>>"
 
 
 def tokens(text: Column) -> Column:
     """The simple profile: lower-cased runs of letters, marks and digits, in order. Null gives an empty array."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.expr("cast(array() as array<string>)"))
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(JVM_TOKEN), F.lit(0)), F.expr("cast(array() as array<string>)"))
 
 
 def query_tokens(query: str) -> list[str]:

@@ -28,7 +28,18 @@ def query(name: str, sql: str | None = None):
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
+
+
+#: Files of less than this may be one row group, which one task would read and tokenise alone.
+SMALL = 256 << 20
+TINY = 1 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """table over all cores if its files are small in all; larger tables have row groups enough and aren't shuffled."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if TINY < size < SMALL else table
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
