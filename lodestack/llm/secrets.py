@@ -3,10 +3,11 @@
 Base kinds are found by one regular expression each: ``assign`` (a keyword, ``:`` or ``=``, a value of six or
 more characters), ``access`` (AKIA identifiers of 20 or more) and ``hex`` (runs of 24 or more).
 
-A further scan finds *parts* of credentials: the base kinds again, and weak candidates that alone would be noise:
-``weak_id`` (user or client names, short access identifiers), ``weak_secret`` (pass phrases, bare 40-character
+Further scans, one per kind, find *parts* of credentials: the base kinds again, and weak candidates that alone would be noise:
+``weak_id`` (user or client names, short access identifiers), ``weak_secret`` (pass phrases, secret keys, bare 40-character
 keys, mixed hex runs of 16 to 23) and ``endpoint`` (URLs, host:port). Parts are joined by their intervals inside a scope, a paragraph
-between blank lines: two parts co-occur if at most ``reach`` code points lie between them. A weak identifier is reported only
+between blank lines: two parts co-occur if at most ``reach`` code points lie between them. Parts may overlap, as credentials in
+a URL do; but an identifier and a secret of which one lies inside the other (a key's name and its value) are no pair. A weak identifier is reported only
 beside a secret, a weak secret only beside an identifier, an endpoint only beside both.
 
 Places come from the lengths of what lies between matches, summed by a window per text; the interval join asks
@@ -34,20 +35,22 @@ _PARTS = {
     "assign": r"(?i:(?:password|passwd|secret|token|api_?key)" + _VALUE + r"[A-Za-z0-9+/_.=-]{6,})",
     "access": ACCESS,
     "hex": HEX,
-    "weak_id": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{4,15}|(?i:(?<![a-z0-9])(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)" + _VALUE + r"[A-Za-z0-9+/_.@-]{3,})",
-    "weak_secret": r"(?i:(?<![a-z0-9])(?:pwd|pass|pass_?phrase|credentials?|auth|private_?key)" + _VALUE + r"[A-Za-z0-9+/_.=-]{4,})"
+    "weak_id": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{4,15}|(?i:(?<![a-z0-9])(?<!secret_)(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)" + _VALUE + r"[A-Za-z0-9+/_.@-]{3,})",
+    "weak_secret": r"(?i:(?<![a-z0-9])(?:pwd|pass|pass_?phrase|credentials?|auth|private_?key|secret_?(?:access_?)?key)" + _VALUE + r"[A-Za-z0-9+/_.=-]{4,})"
     + r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
     + r"|(?<![A-Za-z0-9])(?=[a-f]{0,22}[0-9])(?=[0-9]{0,22}[a-f])[0-9a-f]{16,23}(?![A-Za-z0-9])",
     "endpoint": r"""(?<![A-Za-z0-9])(?i:https?|s3|jdbc:[a-z]{2,12}|postgres|mysql|redis|ftp)://[^\s"'<>]{4,}|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9])""",
 }
-_ANY = "|".join(f"(?:{p})" for p in _PARTS.values())
+BREAK = r"\n[ \t\r]*\n"  # parts neither begin nor end with white space, so breaks between any of them add up
+#: The scans for parts beside those of the base kinds; an assignment's parts may start where no base match does.
+_SCANS = {"assign_part": "assign", "weak_id": "weak_id", "weak_secret": "weak_secret", "endpoint": "endpoint"}
 #: Nothing is linked without an identifier, and each has one of these.
 _MAY_LINK = r"[:=]|A[KS]IA"
 
 
 def _scan(scan: str, pattern: str, when: Column, ok=lambda m: F.lit(True)) -> Column:
     """The matches of one pattern, in order, each with the length of the gap before it."""
-    nothing = F.expr("cast(array() as array<struct<scan:string,i:int,gap:int,len:int,ok:boolean,br:boolean,m:string>>)")
+    nothing = F.expr("cast(array() as array<struct<scan:string,i:int,gap:int,len:int,ok:boolean,br:int>>)")
     gaps = F.split("_t", pattern, -1)
     found = F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))
     pairs = F.when(when, F.arrays_zip(found.alias("m"), gaps.alias("g"))).otherwise(F.expr("cast(array() as array<struct<m:string,g:string>>)"))
@@ -59,27 +62,34 @@ def _scan(scan: str, pattern: str, when: Column, ok=lambda m: F.lit(True)) -> Co
             F.length(p["g"]).alias("gap"),
             F.length(p["m"]).alias("len"),
             ok(p["m"]).alias("ok"),
-            (p["g"].rlike(r"\n[ \t\r]*\n") if scan == "parts" else F.lit(False)).alias("br"),
-            (p["m"] if scan == "parts" else F.lit("")).alias("m"),
+            (F.size(F.split(p["g"], BREAK, -1)) - 1).alias("br"),
         ),
     )
     return F.when(when, F.filter(made, lambda x: x["len"].isNotNull())).otherwise(nothing)  # the last gap has no match
 
 
-def _kind_of(match: Column) -> Column:
-    """Which alternative made a match: the first that fits it from its start."""
-    kind = F.lit("endpoint")
-    for name in ("weak_secret", "weak_id", "hex", "access", "assign"):
-        bare = _PARTS[name].replace(r"(?<![A-Za-z0-9+/_=-])", "").replace(r"(?<![A-Za-z0-9])", "").replace(r"(?<![a-z0-9])", "")
-        kind = F.when(match.rlike(f"^(?:{bare})"), F.lit(name)).otherwise(kind)
-    return kind
+def _linked(rows: DataFrame, reach: int) -> DataFrame:
+    """rows plus ``by_id`` and ``by_secret``: whether a part of that role is within ``reach`` and neither lies inside the other.
 
+    What starts before a part that is in no other, or ends after it, can't contain it. For a part inside another, those
+    count that contain none. An endpoint may contain what it is linked with.
+    """
+    far, scope, no = W.unboundedPreceding, W.partitionBy("_id", "scope"), F.lit(False)
+    from_start, before = scope.orderBy("start").rangeBetween(far, 0), scope.orderBy("start").rangeBetween(far, -1)
+    to_start, after = scope.orderBy(F.desc("start")).rangeBetween(far, 0), scope.orderBy(F.desc("end")).rangeBetween(far, -1)
+    roles = {"id": ("access", "weak_id"), "secret": ("assign", "hex", "weak_secret")}
+    rows = rows.withColumns({f"is_{r}": (F.col("scan") != "assign") & F.col("kind").isin(*kinds) for r, kinds in roles.items()})
+    inside = lambda r: F.coalesce(F.max(F.when(F.col(f"is_{r}"), F.col("end"))).over(from_start) >= F.col("end"), no)
+    holds = lambda r: F.coalesce(F.min(F.when(F.col(f"is_{r}"), F.col("end"))).over(to_start) <= F.col("end"), no)
+    either = lambda f: (F.col("is_id") & f("secret")) | (F.col("is_secret") & f("id"))
+    rows = rows.withColumns({"inner": either(inside), "outer": either(holds)})
+
+    def near(role: Column) -> Column:
+        last, place = F.max(F.when(role, F.col("end"))).over(before), F.when(role, F.col("start"))
+        following = F.when(F.col("kind") == "endpoint", F.min(place).over(to_start)).otherwise(F.min(place).over(after))
+        return F.coalesce(F.col("start") - last <= reach, no) | F.coalesce(following - F.col("end") <= reach, no)
 
-def _near(role: Column, before, after, reach: int) -> Column:
-    """Whether a part of this role ends at most ``reach`` before this one's start, or begins so soon after its end."""
-    last = F.max(F.when(role, F.col("end"))).over(before)
-    following = F.min(F.when(role, F.col("start"))).over(after)
-    return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(following - F.col("end") <= reach, F.lit(False))
+    return rows.withColumns({f"by_{r}": F.when(F.col("inner"), near(F.col(f"is_{r}") & ~F.col("outer"))).otherwise(near(F.col(f"is_{r}"))) for r in roles})
 
 
 def with_spans(docs: DataFrame, reach: int = REACH, carry: list[str] | None = None) -> DataFrame:
@@ -103,22 +113,18 @@ def _find(docs: DataFrame, reach: int, carry: list[str] | None = None) -> DataFr
             _scan("assign", ASSIGN, signed, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
             _scan("access", ACCESS, F.contains("_t", F.lit("AKIA"))),
             _scan("hex", HEX, F.col("_t").rlike(HEX)),
-            _scan("parts", _ANY, F.col("_t").rlike(_MAY_LINK)),
+            *[_scan(scan, _PARTS[kind], F.col("_t").rlike(_MAY_LINK)) for scan, kind in _SCANS.items()],
         ),
     )
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in _SCANS.items() for x in pair])[F.col("x.scan")], F.col("x.scan"))
     rows = d.select("_id", "_row", F.posexplode_outer("_all").alias("_n", "x"))
-    rows = rows.select("_id", F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("_row")).alias("_row"), F.when(F.col("x.scan") == "parts", _kind_of(F.col("x.m"))).otherwise(F.col("x.scan")).alias("kind"), "x.scan", "x.i", "x.gap", "x.len", "x.ok", "x.br")
+    rows = rows.select("_id", F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("_row")).alias("_row"), kind.alias("kind"), "x.scan", "x.i", "x.gap", "x.len", "x.ok", "x.br")
     rows = rows.repartition("_id")
     order = W.partitionBy("_id", "scan").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
-    rows = rows.withColumn("scope", F.sum(F.col("br").cast("int")).over(order))
-    scope = W.partitionBy("_id", "scan", "scope")
-    before = scope.orderBy(F.col("start")).rowsBetween(W.unboundedPreceding, -1)
-    after = scope.orderBy(F.col("start").desc()).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("by_id", _near(F.col("kind").isin("access", "weak_id"), before, after, reach))
-    rows = rows.withColumn("by_secret", _near(F.col("kind").isin("assign", "hex", "weak_secret"), before, after, reach))
-    base = (F.col("scan") != "parts") & F.col("ok")
-    linked = (F.col("scan") == "parts") & (
+    rows = _linked(rows.withColumn("scope", F.sum("br").over(order)), reach)
+    base = F.col("scan").isin(*KINDS[:3]) & F.col("ok")
+    linked = (
         ((F.col("kind") == "weak_id") & F.col("by_secret"))
         | ((F.col("kind") == "weak_secret") & F.col("by_id"))
         | ((F.col("kind") == "endpoint") & F.col("by_id") & F.col("by_secret"))
