@@ -53,8 +53,8 @@ def _sets(batches, column: int = 0):
             yield batch, i, shingles(words)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid (fingerprint of the shingle set; null if it is empty) for every row."""
+def sketch(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, cid (fingerprint of the shingle set; null if it is empty), _key (the column ``key``, a long) for every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -65,9 +65,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 s = shingles(words)
                 n.append(len(s))
                 c.append(_class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "n_shingles", "cid"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), batch.column("_key")], ["doc_id", "n_shingles", "cid", "_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, cid long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(key).cast("long").alias("_key")).mapInArrow(run, "doc_id long, n_shingles long, cid long, _key long")
 
 
 def _distinct_sets(batches):
@@ -330,14 +330,18 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS
     Rows are documents: rows that repeat a doc_id and text are linked with one another. component_id is the smallest
     non-null doc_id of the component. Other columns are ignored.
     """
-    d = docs.select("doc_id", "text")
-    rows = materialize(sketch(d), "sketch")
+    return _grouped(docs.select("doc_id", "text"), "doc_id", percent, orders).drop("_key", "root")
+
+
+def _grouped(d: DataFrame, row: str, percent: int, orders: int) -> DataFrame:
+    """jaccard_groups plus ``_key`` (the column ``row``) and ``root``, which names the component; null for a row without links."""
+    rows = materialize(sketch(d, row), "sketch")
     key = F.concat_ws(":", "cid", "n")
     classes = rows.where("n_shingles > 0").groupBy("cid", F.col("n_shingles").alias("n")).agg(F.count("*").alias("class_size"), F.min("doc_id").alias("first_id"))
     classes = materialize(classes, "classes")
     tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     if tokens == 0:
-        return rows.select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+        return rows.select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), "_key", F.lit(None).cast("string").alias("root"))
     prefix = materialize(prefixes(d, frequency_order(d, tokens), percent, orders).distinct(), "prefixes")
     pairs = materialize(candidates(prefix, percent, orders), "candidates")
     links = materialize(verify(d, pairs, percent), "links")
@@ -347,16 +351,21 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS
     found = classes.join(degree, ["cid", "n"], "left").where("class_size > 1 or linked is not null")
     found = found.withColumn("v", key).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = found.join(least, "root").select(F.col("cid").alias("_c"), F.col("n").alias("_n"), "class_size", (F.col("class_size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
+    found = found.join(least, "root").select(F.col("cid").alias("_c"), F.col("n").alias("_n"), "class_size", (F.col("class_size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id", "root")
     out = rows.join(found, (F.col("cid") == F.col("_c")) & (F.col("n_shingles") == F.col("_n")), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "_key", "root")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """docs without near copies: of every group the document with the smallest doc_id stays, as one row per doc_id.
+    """docs without near copies: of every group the row with the smallest doc_id stays, one without a doc_id only if none has one.
 
-    Wordless rows are in no group; rows without a doc_id can't be named and stay.
+    Every row is judged by its own text. Wordless rows are in no group and stay. Of the rows that stay there is one per
+    non-null doc_id.
     """
-    best = jaccard_groups(docs, percent, orders).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(best, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_key")), "rows")
+    judged = materialize(_grouped(keyed.select("_row.doc_id", "_row.text", "_key"), "_key", percent, orders).select("doc_id", "_key", "root"), "judged")
+    first = judged.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("m")).select("m.doc_id", "m._key")
+    stay = judged.where("root is null").select("doc_id", "_key").unionByName(first)
+    named = stay.where("doc_id is not null").groupBy("doc_id").agg(F.min("_key").alias("_key"))
+    stay = named.select("_key").unionByName(stay.where("doc_id is null").select("_key"))
+    return keyed.join(stay, "_key", "left_semi").select("_row.*")

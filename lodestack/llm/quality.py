@@ -191,7 +191,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Verdicts are joined back by doc_id: a doc_id
-    held by several rows stays if any of its rows is kept; rows with a null doc_id go."""
-    kept = quality_rules(docs, labels, stratum, risk, delta).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs that the rules keep, with docs' columns. Verdicts stay with their rows, so one without a doc_id has its own;
+    a rejected row stays, though, if another with its non-null doc_id is kept."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    measured = materialize(measure(docs.select(row, "doc_id", "text", F.col(stratum).alias("_lang"))).select("_row", "doc_id", "_lang", "_q"), "quality")
+    out = judge(measured, labels, F.col("_lang"), risk, delta)
+    named = out.where("_kept and doc_id is not null").select("doc_id").distinct()
+    return out.where("_kept").select("_row.*").unionByName(out.where("not _kept").join(named, "doc_id", "left_semi").select("_row.*"))

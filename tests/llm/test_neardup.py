@@ -78,6 +78,13 @@ def test_one_of_each_group_stays(spark, tmp_path):
     assert out.columns == d.columns and sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_each_row_is_judged_by_its_own_text(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(i, t, "en", "s", n, 1, 1, "") for n, (i, t) in enumerate([(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, ""), (None, None)])]
+    out = keep_one(cases.stored(spark, tmp_path / "d", rows)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted([("1", a), ("2", b), ("None", c), ("None", ""), ("None", "None")])
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "z")], "a string, b string")
     got = {r.v: r.root for r in components(e).collect()}

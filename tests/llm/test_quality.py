@@ -76,3 +76,10 @@ def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], LABELS)
     assert quality_rules(cases.stored(spark, tmp_path / "d", []), none).count() == 0
     assert quality_rules(cases.stored(spark, tmp_path / "e", cases.rows(3)), none).count() == len(cases.rows(3))
+
+
+def test_rows_without_a_doc_id_have_their_own_verdict(spark, tmp_path):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(n, t, "en", "s", 1, 1, 1, "") for n, t in [(1, good), (2, "too short"), (None, good), (None, "too short"), (None, None)]]
+    out = keep_good(cases.stored(spark, tmp_path / "d", rows), spark.createDataFrame([], LABELS))
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", good), ("None", good)]
