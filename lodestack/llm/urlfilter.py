@@ -1,7 +1,7 @@
 """URL filters: explicit rules, and a path-template tree per host for what no rule fits.
 
 The tree is built level by level from counts per (host, path), so hot URLs are one row and no host is ever collected.
-At every node a path segment stays literal if it holds enough of the node's URLs, else it becomes the wildcard ``*``.
+At every node a path segment stays literal if it holds at least ``MIN_COUNT`` URLs, however many the node has, else it becomes the wildcard ``*``.
 Literal siblings merge into the wildcard too when they are statistically similar to their other siblings: two-proportion tests on
 how many URLs are labelled, how many of those are blocked and how many end there find no difference.
 
@@ -21,7 +21,6 @@ from lodestack.storage import materialize
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DEPTH = 6
 MIN_COUNT = 4
-MIN_SHARE = 0.05
 SIMILAR_Z = 2.58
 SMOOTH = 4.0
 MIN_LABELS = 5
@@ -68,7 +67,7 @@ def templates(paths: DataFrame) -> DataFrame:
         )
         kids = materialize(kids, "children")
         node = kids.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "blk", "leaf")])
-        k = kids.join(node, ["host", "template"]).where((F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * F.col("all_n")))
+        k = kids.join(node, ["host", "template"]).where(F.col("n") >= MIN_COUNT)
         d = lambda c: F.col(c).cast("double")
         rest = lambda c: d(f"all_{c}") - d(c)
         alone = rest("n") == 0

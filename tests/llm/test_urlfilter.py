@@ -56,5 +56,11 @@ def test_pure_templates_reject(spark):
     assert {r.page_id: r.verdict for r in near.collect()}[1] == "block"  # its template is all but purely blocked
 
 
+def test_a_small_section_of_a_large_host_stays_apart(spark):
+    rows = [(i, f"http://m.com/a{i % 50}/{i}", "", 0) for i in range(1000)] + [(2000 + i, f"http://m.com/b/{100 + i}", "", 0) for i in range(40)] + [(3000, "http://m.com/b/2", "", 0)]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, SCHEMA), rules=(("allow", "m.com", "/a"), ("block", "m.com", "/b/1"))).collect()}
+    assert got[3000].rule is None and got[3000].template == "/b/*" and got[3000].verdict == "block" and got[0].template == "/*/*"
+
+
 def test_empty_table(spark):
     assert filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
