@@ -96,13 +96,16 @@ def frequency_order(docs: DataFrame, tokens: int) -> tuple[np.ndarray, int, np.n
 
         def flush(held):
             keys, counts = np.unique(mix(np.concatenate(held)) >> np.uint64(32 - r), return_counts=True)
-            cut = np.searchsorted(keys, np.arange((1 << r) + 1, dtype=np.uint64) << np.uint64(32))
+            bucket = (keys >> np.uint64(32)).astype(np.int64)
+            cut = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(keys)]])  # only buckets that have tokens here
             rows = []
-            for b in range(1 << r):
-                k, c = keys[cut[b] : cut[b + 1]].astype("<u4"), counts[cut[b] : cut[b + 1]].astype("<u4")
-                if len(k):
-                    one = c == 1
-                    rows.append({"bucket": b, "once": k[one].tobytes(), "more": k[~one].tobytes(), "counts": c[~one].tobytes()})
+            for a, b in zip(cut[:-1], cut[1:]):
+                k, c = keys[a:b].astype("<u4"), counts[a:b].astype("<u4")
+                one = c == 1
+                rows.append({"bucket": int(bucket[a]), "once": k[one].tobytes(), "more": k[~one].tobytes(), "counts": c[~one].tobytes()})
+                if len(rows) == 4096:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
         held, size = [], 0
@@ -359,13 +362,11 @@ def _grouped(d: DataFrame, row: str, percent: int, orders: int) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """docs without near copies: of every group the row with the smallest doc_id stays, one without a doc_id only if none has one.
 
-    Every row is judged by its own text. Wordless rows are in no group and stay. Of the rows that stay there is one per
-    non-null doc_id.
+    Every row is judged by its own text, so different texts under one doc_id both stay; of equal rows the first by row number stays.
+    Null, empty and wordless rows are in no group and stay. Texts are compared whole, however long. An empty docs gives no rows.
     """
     keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_key")), "rows")
     judged = materialize(_grouped(keyed.select("_row.doc_id", "_row.text", "_key"), "_key", percent, orders).select("doc_id", "_key", "root"), "judged")
-    first = judged.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("m")).select("m.doc_id", "m._key")
-    stay = judged.where("root is null").select("doc_id", "_key").unionByName(first)
-    named = stay.where("doc_id is not null").groupBy("doc_id").agg(F.min("_key").alias("_key"))
-    stay = named.select("_key").unionByName(stay.where("doc_id is null").select("_key"))
+    first = judged.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("m")).select("m._key")
+    stay = judged.where("root is null").select("_key").unionByName(first)
     return keyed.join(stay, "_key", "left_semi").select("_row.*")

@@ -43,14 +43,13 @@ def _permille(part: Column, whole: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs plus ``_q``: a struct of the base counts and the badness scores of the whole text.
+    """docs plus ``_q`` (in place of a column of that name): a struct of the base counts and the badness scores of the whole text.
 
     Null text counts as empty (all counts 0). Rows are independent; nothing is shuffled.
     n_repeat_words: the word positions inside 5-word windows that occur twice or more, found by sorting
     window hashes (64 bits) beside their places; a text without repeated windows skips the sort.
     """
-    text = text_of()
-    d = docs.withColumn("_t", text)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), text_of().alias("_t"))
     d = d.withColumn("_w", F.filter(F.split(F.regexp_replace("_t", r"[\x09-\x0D]", " "), " ", -1), lambda w: w != ""))
     d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     n = F.size("_h")
@@ -103,7 +102,7 @@ def measure(docs: DataFrame) -> DataFrame:
         ((words < 10) | (100 * b["n_repeat_words"] > 20 * words)).alias("base_failed"),
         *[score[r].alias(r) for r in RULES],
     )
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], q.alias("_q"))
+    return d.select(*[F.col(f"_own.`{c}`").alias(c) for c in docs.columns if c != "_q"], q.alias("_q"))
 
 
 def _lgamma(x: Column) -> Column:
@@ -191,10 +190,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Verdicts stay with their rows, so one without a doc_id has its own;
-    a rejected row stays, though, if another with its non-null doc_id is kept."""
+    """The rows of docs that the rules keep, with docs' columns. Verdicts stay with their rows, whatever their doc_id: a null one
+    or one that other rows have too. Null and empty texts fail the base rules; long ones are measured whole; an empty docs gives no rows."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     measured = materialize(measure(docs.select(row, "doc_id", "text", F.col(stratum).alias("_lang"))).select("_row", "doc_id", "_lang", "_q"), "quality")
-    out = judge(measured, labels, F.col("_lang"), risk, delta)
-    named = out.where("_kept and doc_id is not null").select("doc_id").distinct()
-    return out.where("_kept").select("_row.*").unionByName(out.where("not _kept").join(named, "doc_id", "left_semi").select("_row.*"))
+    return judge(measured, labels, F.col("_lang"), risk, delta).where("_kept").select("_row.*")

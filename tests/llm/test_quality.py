@@ -80,6 +80,22 @@ def test_empty_tables(spark, tmp_path):
 
 def test_rows_without_a_doc_id_have_their_own_verdict(spark, tmp_path):
     good = " ".join(f"w{i}" for i in range(30))
-    rows = [(n, t, "en", "s", 1, 1, 1, "") for n, t in [(1, good), (2, "too short"), (None, good), (None, "too short"), (None, None)]]
+    rows = [(n, t, "en", "s", 1, 1, 1, "") for n, t in [(1, good), (1, "too short"), (2, "too short"), (None, good), (None, "too short"), (None, None)]]
     out = keep_good(cases.stored(spark, tmp_path / "d", rows), spark.createDataFrame([], LABELS))
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", good), ("None", good)]
+
+
+def test_false_rejections_on_unseen_rows(spark, tmp_path):
+    """Cutoffs from one half of the labels reject at most the promised share of the other half's good documents."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 400)) + "#" * min(6, int(rng.expovariate(2))) for _ in range(40)), "en", "s", 0, 0, 0, "") for i in range(12000)]
+    lab = spark.createDataFrame([(i, 1, 0, "en") for i in range(0, 12000, 2)], LABELS)
+    out = quality_rules(cases.stored(spark, tmp_path / "d", rows), lab).where("doc_id % 2 = 1 and not base_failed")
+    n, lost = out.count(), out.where("not kept").count()
+    assert n > 5000 and 0 < lost <= 0.02 * n
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h i j k", "en", 5, 6, 7)], "doc_id long, text string, lang string, _t long, _w long, _q long")
+    out = keep_good(d, spark.createDataFrame([], LABELS))
+    assert out.columns == d.columns and tuple(out.first()) == (1, "a b c d e f g h i j k", "en", 5, 6, 7)
