@@ -4,9 +4,9 @@ Base kinds are found by one regular expression each: ``assign`` (a keyword, ``:`
 more characters), ``access`` (AKIA identifiers of 20 or more) and ``hex`` (runs of 24 or more).
 
 Further scans, one per kind, find *parts* of credentials: the base kinds again, and weak candidates that alone would be noise:
-``weak_id`` (user or client names, short access identifiers), ``weak_secret`` (pass phrases, secret keys, bare 40-character
-keys, mixed hex runs of 16 to 23) and ``endpoint`` (URLs, host:port). Parts are joined by their intervals inside a scope, a paragraph
-between blank lines: two parts co-occur if at most ``reach`` code points lie between them. Parts may overlap, as credentials in
+``weak_id`` (user or client names, also in front of a URL's host, short access identifiers), ``weak_secret`` (pass phrases, also in front of a
+URL's host, secret keys, bare 40-character keys, mixed hex runs of 16 to 23) and ``endpoint`` (URLs, host:port). Parts are joined by their intervals inside a scope, a paragraph
+between blank lines: two parts co-occur if at most ``reach`` code points lie between them (``None``: anywhere in the scope). Parts may overlap, as credentials in
 a URL do; but an identifier and a secret of which one lies inside the other (a key's name and its value) are no pair. A weak identifier is reported only
 beside a secret, a weak secret only beside an identifier, an endpoint only beside both.
 
@@ -31,12 +31,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # the leftmost run of 20 or more is the leftmost
 HEX = r"[0-9a-f]{24,}"
 
 _VALUE = r"""["']?\x20{0,8}[:=]\x20{0,8}["']?"""
+_USER = r"""[^\s:/@"'<>]{1,64}"""
 _PARTS = {
     "assign": r"(?i:(?:password|passwd|secret|token|api_?key)" + _VALUE + r"[A-Za-z0-9+/_.=-]{6,})",
     "access": ACCESS,
     "hex": HEX,
-    "weak_id": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{4,15}|(?i:(?<![a-z0-9])(?<!secret_)(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)" + _VALUE + r"[A-Za-z0-9+/_.@-]{3,})",
-    "weak_secret": r"(?i:(?<![a-z0-9])(?:pwd|pass|pass_?phrase|credentials?|auth|private_?key|secret_?(?:access_?)?key)" + _VALUE + r"[A-Za-z0-9+/_.=-]{4,})"
+    "weak_id": r"(?<=://)" + _USER + r"(?=:[^\s/@\"'<>]{3,128}@)|(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{4,15}(?![A-Z0-9])|(?i:(?<![a-z0-9])(?<!secret_)(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)" + _VALUE + r"[A-Za-z0-9+/_.@-]{3,})",
+    "weak_secret": r"(?<=:)(?<=://" + _USER + r":)[^\s/@\"'<>]{3,128}(?=@)|(?i:(?<![a-z0-9])(?:pwd|pass|pass_?phrase|credentials?|auth|private_?key|secret_?(?:access_?)?key)" + _VALUE + r"[A-Za-z0-9+/_.=-]{4,})"
     + r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
     + r"|(?<![A-Za-z0-9])(?=[a-f]{0,22}[0-9])(?=[0-9]{0,22}[a-f])[0-9a-f]{16,23}(?![A-Za-z0-9])",
     "endpoint": r"""(?<![A-Za-z0-9])(?i:https?|s3|jdbc:[a-z]{2,12}|postgres|mysql|redis|ftp)://[^\s"'<>]{4,}|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9])""",
@@ -68,7 +69,7 @@ def _scan(scan: str, pattern: str, when: Column, ok=lambda m: F.lit(True)) -> Co
     return F.when(when, F.filter(made, lambda x: x["len"].isNotNull())).otherwise(nothing)  # the last gap has no match
 
 
-def _linked(rows: DataFrame, reach: int) -> DataFrame:
+def _linked(rows: DataFrame, reach: int | None) -> DataFrame:
     """rows plus ``by_id`` and ``by_secret``: whether a part of that role is within ``reach`` and neither lies inside the other.
 
     What starts before a part that is in no other, or ends after it, can't contain it. For a part inside another, those
@@ -87,23 +88,26 @@ def _linked(rows: DataFrame, reach: int) -> DataFrame:
     def near(role: Column) -> Column:
         last, place = F.max(F.when(role, F.col("end"))).over(before), F.when(role, F.col("start"))
         following = F.when(F.col("kind") == "endpoint", F.min(place).over(to_start)).otherwise(F.min(place).over(after))
+        if reach is None:
+            return last.isNotNull() | following.isNotNull()
         return F.coalesce(F.col("start") - last <= reach, no) | F.coalesce(following - F.col("end") <= reach, no)
 
     return rows.withColumns({f"by_{r}": F.when(F.col("inner"), near(F.col(f"is_{r}") & ~F.col("outer"))).otherwise(near(F.col(f"is_{r}"))) for r in roles})
 
 
-def with_spans(docs: DataFrame, reach: int = REACH, carry: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those in ``carry``, so that whole texts need not be shuffled) plus ``_spans``: array of (start, end, kind, base) by start, then kind as in KINDS.
+def with_spans(docs: DataFrame, reach: int | None = REACH, carry: list[str] | None = None) -> DataFrame:
+    """docs' columns (or those in ``carry``, so that whole texts need not be shuffled) plus ``_spans`` (in place of a column of that name): array of (start, end, kind, base) by start, then kind as in KINDS.
 
     Places are code points, ends exclusive. Null and empty texts have no spans; equal rows each get theirs;
     extra columns are carried along (once per row).
     """
     found = _find(docs, reach, carry)
-    return found.select("_row.*", "_spans")
+    spans = F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base")))
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in carry or docs.columns if c != "_spans"], spans.alias("_spans"))
 
 
-def _find(docs: DataFrame, reach: int, carry: list[str] | None = None) -> DataFrame:
-    """(_row, _spans): docs' columns stay in a struct, so no name of theirs can clash."""
+def _find(docs: DataFrame, reach: int | None, carry: list[str] | None = None, merge: bool = False) -> DataFrame:
+    """(_row, _spans): docs' columns stay in a struct, so no name of theirs can clash. With ``merge`` a span's ``seen`` is the largest end of the spans before it."""
     kept = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns])
     d = docs.select(kept.alias("_row"), F.monotonically_increasing_id().alias("_id"), text_of().alias("_t"))
     signed = F.contains("_t", F.lit("=")) | F.contains("_t", F.lit(":"))
@@ -130,16 +134,21 @@ def _find(docs: DataFrame, reach: int, carry: list[str] | None = None) -> DataFr
         | ((F.col("kind") == "endpoint") & F.col("by_id") & F.col("by_secret"))
     )
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    span = F.when(F.coalesce(base | linked, F.lit(False)), F.struct("start", rank.alias("rank"), "end", "kind", base.alias("base")))
+    rows = rows.withColumn("found", F.coalesce(base | linked, F.lit(False))).withColumn("rank", rank)
+    if merge:  # how far the spans before reach
+        rows = rows.withColumn("seen", F.max(F.when(F.col("found"), F.col("end"))).over(W.partitionBy("_id").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)))
+    else:
+        rows = rows.withColumn("seen", F.lit(None).cast("long"))
+    span = F.when(F.col("found"), F.struct("start", "rank", "end", "kind", base.alias("base"), F.coalesce("seen", F.lit(0)).alias("seen")))
     out = rows.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list(span)).alias("s"))
-    return out.select("_row", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"))).alias("_spans"))
+    return out.select("_row", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"), x["seen"].alias("seen"))).alias("_spans"))
 
 
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """One row per row of docs: doc_id, counts of base kinds, base_sha256, spans, n_linked (spans that linking added)."""
     d = with_spans(docs, reach, ["doc_id"])
     s, base = F.col("_spans"), F.filter("_spans", lambda x: x["base"])
@@ -153,24 +162,23 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, reach: int = REACH, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = REACH, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span (overlapping ones merged) replaced by ``mark``; same columns, ``n_chars`` follows the text.
 
-    Rows without a candidate pass unchanged and unshuffled; a null text stays null.
+    Rows without a candidate pass unchanged and unshuffled; a null text stays null, an empty one empty. Repeated rows and rows with one or no
+    doc_id each have their own text. A text is cut once at its spans, at fixed four bytes a code point, so long ones take time in
+    proportion to their length. An empty docs gives no rows.
     """
     may = F.coalesce(F.col("text").rlike(f"{_MAY_LINK}|{HEX}"), F.lit(False))
-    found = _find(docs.where(may), reach)
+    found = _find(docs.where(may), reach, merge=True)
     text = F.col("_row.text")
-    merged = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"].cast("long")).alias("at"),
-            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    found = found.withColumn("_new", F.when(F.size("_spans") > 0, merged).otherwise(text))
+    wide = F.encode(text, "UTF-32")
+    piece = lambda at, to: F.decode(F.substring(wide, at * 4 + 1, (to - at) * 4), "UTF-32")
+    opening = F.filter("_spans", lambda x: x["start"] >= x["seen"])  # a span that begins inside another adds nothing
+    before = F.transform(opening, lambda x: piece(x["seen"].cast("int"), x["start"].cast("int")))
+    last = F.array_max(F.transform("_spans", lambda x: x["end"])).cast("int")
+    pieces = F.concat(before, F.array(piece(last, F.length(text))))
+    found = found.withColumn("_new", F.when(F.size("_spans") > 0, F.array_join(pieces, mark)).otherwise(text))
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_new")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
