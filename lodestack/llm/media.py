@@ -1,8 +1,9 @@
 """Media columns: ISO base media containers, written and read without decoding payloads.
 
 ``write_container`` stores a payload as 8-bit samples of one audio track (``ftyp``, ``mdat``, ``moov`` with full sample tables).
-``read_container`` walks the nested boxes of any such file, decodes the sample tables (stsd, stts, stsc, stsz, stco/co64, stss)
-and gives codec, duration and the byte ranges of samples and keyframes; payload bytes are only sliced.
+``read_container`` walks the nested boxes of any such file, with any number of tracks, decodes the sample tables (stsd, stts, ctts, stsc, stsz/stz2,
+stco/co64, stss) and the runs of movie fragments (trex, tfhd, tfdt, trun), and gives codec, duration and the byte ranges of samples
+and keyframes; payload bytes are only sliced. Without stss every sample is a keyframe, as in uncompressed audio.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from lodestack.storage import materialize
 
 UNIT = 64  # bytes per sample (access unit)
 CHUNK = 64  # samples per chunk
-KEY_EVERY = 16  # samples from one keyframe to the next
 RATE = 8000
 _CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -48,14 +48,12 @@ def write_container(payload: bytes) -> bytes:
     place = _full(b"co64", struct.pack(">I", chunks), offsets.astype(">u8").tobytes()) if large else _full(b"stco", struct.pack(">I", chunks), offsets.astype(">u4").tobytes())
     last = n - (chunks - 1) * CHUNK
     runs = [(1, CHUNK), (chunks, last)] if chunks > 1 and last != CHUNK else [(1, CHUNK if chunks > 1 else last)]
-    keys = np.arange(1, n + 1, KEY_EVERY)
     entry = _box(b"raw ", struct.pack(">6xH", 1), struct.pack(">HHIHHHHI", 0, 0, 0, 1, 8, 0, 0, RATE << 16))
     ticks = n * UNIT
     stbl = _box(
         b"stbl",
         _full(b"stsd", struct.pack(">I", 1), entry),
         _full(b"stts", struct.pack(">III", 1, n, UNIT)),
-        _full(b"stss", struct.pack(">I", len(keys)), keys.astype(">u4").tobytes()),
         _full(b"stsc", struct.pack(">I", len(runs)), b"".join(struct.pack(">III", a, b, 1) for a, b in runs)),
         _full(b"stsz", struct.pack(">II", UNIT, n)),
         place,
@@ -102,15 +100,97 @@ def _table(data: memoryview, body: int, end: int, kind: str, per: int, skip: int
     return np.frombuffer(data, kind, n * per, body + skip + 4).astype(np.int64).reshape(n, per)
 
 
+def _sizes(data: memoryview, kind: bytes, a: int, b: int) -> np.ndarray:
+    """Sample sizes of stsz or stz2 (4, 8 or 16 bits each)."""
+    if kind == b"stsz":
+        each, n = struct.unpack_from(">II", data, a + 4)
+        return np.full(n, each, np.int64) if each else _table(data, a, b, ">u4", 1, 8)[:, 0]
+    bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if bits not in (4, 8, 16) or a + 12 + (n * bits + 7) // 8 > b:
+        raise ValueError("a sample table is longer than its box")
+    if bits == 4:
+        packed = np.frombuffer(data, np.uint8, (n + 1) // 2, a + 12)
+        return np.stack([packed >> 4, packed & 15], axis=1).reshape(-1)[:n].astype(np.int64)
+    return np.frombuffer(data, ">u2" if bits == 16 else np.uint8, n, a + 12).astype(np.int64)
+
+
+def _placed(t: dict) -> None:
+    """offsets of a track's samples from its chunks."""
+    sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
+    per = np.zeros(len(chunks), np.int64)
+    for i, (first, k, _) in enumerate(runs):
+        per[first - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else len(chunks)] = k
+    if per.sum() < len(sizes):
+        raise ValueError("the chunks hold fewer samples than there are")
+    chunk_of = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+    before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    first = np.searchsorted(chunk_of, np.arange(len(chunks)))
+    base = before[np.minimum(first, max(0, len(sizes) - 1))] if len(sizes) else before
+    t["offsets"] = chunks[chunk_of] + before - base[chunk_of] if len(sizes) else np.empty(0, np.int64)
+
+
+def _run(data: memoryview, a: int, b: int, head: dict, at: int) -> tuple[np.ndarray, int]:
+    """(offset, size, duration, keyframe) of a fragment run's samples, and where its data ends."""
+    flags, n = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+    p = a + 8
+    if flags & 1:
+        at = head["base"] + struct.unpack_from(">i", data, p)[0]
+        p += 4
+    first = head["flags"]
+    if flags & 4:
+        first = struct.unpack_from(">I", data, p)[0]
+        p += 4
+    fields = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if p + 4 * len(fields) * n > b:
+        raise ValueError("a run is longer than its box")
+    rows = np.frombuffer(data, ">u4", len(fields) * n, p).astype(np.int64).reshape(n, len(fields))
+    get = lambda name: rows[:, fields.index(name)] if name in fields else np.full(n, head[name], np.int64)
+    size, flag = get("size"), get("flags").copy()
+    if n and "flags" not in fields:
+        flag[0] = first
+    start = at + np.concatenate([[0], np.cumsum(size)])
+    return np.stack([start[:-1], size, get("duration"), (flag >> 16 & 1) == 0], axis=1), int(start[-1])
+
+
 def read_container(media: bytes) -> list[dict]:
-    """Tracks: codec, timescale, duration (ticks), offsets and sizes of samples, keyframes (sample numbers from 0) and their byte ranges."""
-    data, tracks, now = memoryview(media), [], None
-    for kind, a, b, _ in walk(data):
+    """Tracks: track_id, codec, handler, timescale, duration (ticks), offsets and sizes of samples, keyframes (sample numbers from 0) and
+    their byte ranges. ValueError if the boxes or tables are broken, or needed ones are missing."""
+    try:
+        return _read(memoryview(media))
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError(f"broken container: {type(e).__name__} {e}") from e
+
+
+def _read(data: memoryview) -> list[dict]:
+    tracks, by_id, extends, now, frag, head, at = [], {}, {}, None, 0, None, 0
+    for kind, a, b, depth in walk(data):
         if kind == b"trak":
-            now = {}
+            now = {"runs": [], "track_id": 0, "codec": None, "handler": None, "timescale": 0, "duration": 0}
             tracks.append(now)
+        elif kind == b"moof":
+            frag = at = a - 8
+        elif kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, a + 4)
+            extends[track] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"tfhd":
+            flags, track = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+            head = {"track": track, "base": frag, "duration": 0, "size": 0, "flags": 0} | extends.get(track, {})
+            p = a + 8
+            for bit, name, form in ((1, "base", ">Q"), (2, None, ">I"), (8, "duration", ">I"), (16, "size", ">I"), (32, "flags", ">I")):
+                if flags & bit:
+                    if name:
+                        head[name] = struct.unpack_from(form, data, p)[0]
+                    p += struct.calcsize(form)
+            at = head["base"]
+        elif kind == b"trun" and head is not None:
+            rows, at = _run(data, a, b, head, at)
+            if head["track"] in by_id:
+                by_id[head["track"]]["runs"].append(rows)
         elif now is not None:
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                now["track_id"] = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+                by_id[now["track_id"]] = now
+            elif kind == b"mdhd":
                 now["timescale"], now["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
             elif kind == b"hdlr":
                 now["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
@@ -118,6 +198,8 @@ def read_container(media: bytes) -> list[dict]:
                 now["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1").strip()
             elif kind == b"stts":
                 now["stts"] = _table(data, a, b, ">u4", 2)
+            elif kind == b"ctts":
+                now["ctts"] = _table(data, a, b, ">i4" if data[a] == 1 else ">u4", 2)
             elif kind == b"stsc":
                 now["stsc"] = _table(data, a, b, ">u4", 3)
             elif kind == b"stco":
@@ -126,28 +208,33 @@ def read_container(media: bytes) -> list[dict]:
                 now["chunks"] = _table(data, a, b, ">u8", 1)[:, 0]
             elif kind == b"stss":
                 now["stss"] = _table(data, a, b, ">u4", 1)[:, 0] - 1
-            elif kind == b"stsz":
-                each, n = struct.unpack_from(">II", data, a + 4)
-                now["sizes"] = np.full(n, each, np.int64) if each else _table(data, a, b, ">u4", 1, 8)[:, 0]
+            elif kind in (b"stsz", b"stz2"):
+                now["sizes"] = _sizes(data, kind, a, b)
     for t in tracks:
-        sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
-        per = np.zeros(len(chunks), np.int64)
-        for i, (first, k, _) in enumerate(runs):
-            per[first - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else len(chunks)] = k
-        if per.sum() < len(sizes):
-            raise ValueError("the chunks hold fewer samples than there are")
-        chunk_of = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
-        before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        first = np.searchsorted(chunk_of, np.arange(len(chunks)))
-        base = before[np.minimum(first, max(0, len(sizes) - 1))] if len(sizes) else before
-        t["offsets"] = chunks[chunk_of] + before - base[chunk_of] if len(sizes) else np.empty(0, np.int64)
-        t["keyframes"] = t.get("stss", np.arange(len(sizes)))
-        t["ranges"] = np.stack([t["offsets"][t["keyframes"]], t["offsets"][t["keyframes"]] + sizes[t["keyframes"]]], axis=1)
-        if len(sizes) and (int((t["offsets"] + sizes).max()) > len(data)):
+        _placed(t)
+        t["keyframes"] = t.get("stss", np.arange(len(t["sizes"])))
+        for rows in t["runs"]:  # the fragments' samples follow those of the tables
+            n = len(t["sizes"])
+            t["offsets"], t["sizes"] = np.concatenate([t["offsets"], rows[:, 0]]), np.concatenate([t["sizes"], rows[:, 1]])
+            t["keyframes"] = np.concatenate([t["keyframes"], n + np.flatnonzero(rows[:, 3])])
+            t["duration"] += int(rows[:, 2].sum()) if n or not t["duration"] else 0
+        o, s, k = t["offsets"], t["sizes"], t["keyframes"]
+        if len(k) and (k.min() < 0 or k.max() >= len(s)):
+            raise ValueError("a keyframe is no sample")
+        if len(s) and (int((o + s).max()) > len(data) or int(o.min()) < 0):
             raise ValueError("a sample lies outside the file")
+        t["ranges"] = np.stack([o[k], o[k] + s[k]], axis=1) if len(k) else np.empty((0, 2), np.int64)
     return tracks
 
 
+def merged(ranges: np.ndarray) -> np.ndarray:
+    """Byte ranges with neighbours that touch made one."""
+    if not len(ranges):
+        return ranges
+    cut = np.flatnonzero(ranges[1:, 0] != ranges[:-1, 1]) + 1
+    return np.stack([ranges[np.concatenate([[0], cut]), 0], ranges[np.concatenate([cut - 1, [len(ranges) - 1]]), 1]], axis=1)
+
+
 def payload_of(media: bytes, track: dict) -> bytes:
     """The track's sample bytes in order; neighbouring samples are taken in one slice."""
     o, s = track["offsets"], track["sizes"]
@@ -180,34 +267,64 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+TRACK = "struct<track_id:bigint,codec:string,handler:string,timescale:bigint,duration:bigint,duration_s:double,samples:bigint,n_keyframes:bigint,keyframes:array<struct<start:bigint,end:bigint>>>"
+
+
+def describe_one(media: bytes | None) -> tuple[list[dict], bytes | None, str | None]:
+    """(tracks as in TRACK, the first track's payload, error) of one file. Broken and null files have no tracks, but an error."""
+    if media is None:
+        return [], None, "null"
+    try:
+        tracks = read_container(media)
+    except ValueError as e:
+        return [], None, str(e)[:200]
+    out = []
+    for t in tracks:
+        spans = [{"start": int(a), "end": int(b)} for a, b in merged(t["ranges"])]
+        seconds = t["duration"] / t["timescale"] if t["timescale"] else None
+        out.append({"track_id": t["track_id"], "codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration": t["duration"], "duration_s": seconds, "samples": len(t["sizes"]), "n_keyframes": len(t["keyframes"]), "keyframes": spans})
+    return out, payload_of(media, tracks[0]) if tracks else None, None
+
+
 def describe_media(media: DataFrame) -> DataFrame:
-    """Per row of a media table: codec, timescale, duration, keyframe byte ranges, digests of the payload as stored and of the container, and a feature string."""
-    names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<start:bigint,end:bigint>>"
+    """media (a binary column ``media``) as it is, but for that column, plus media_bytes, media_sha256, tracks (codec, duration, keyframe byte ranges
+    and more, per track), payload_bytes, payload_sha256 and tail_crc32 of the first track as stored, and error.
+
+    Neighbouring keyframes are one range. A null, empty or broken file is a row with an error and no tracks; several tracks are several
+    elements; a timescale of 0 gives no duration in seconds. Repeated rows agree; an empty table gives no rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kept = [c for c in media.columns if c != "media"]
+    made = "media_bytes long, media_sha256 string, tracks array<" + TRACK + ">, payload_bytes long, payload_sha256 string, tail_crc32 long, error string"
+    schema = StructType([media.schema[c] for c in kept] + list(StructType.fromDDL(made)))
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
-        pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
         for b in batches:
-            rows, ranges = [], []
-            for doc, n, m in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media")):
-                media = m.as_py()
-                (t,) = read_container(media)
-                body = payload_of(media, t)
-                marks = hashlib.sha256(t["ranges"].astype("<i8").tobytes()).hexdigest()[:16]
-                feature = f"codec={t['codec']};handler={t['handler']};timescale={t['timescale']};duration={t['duration']};samples={len(t['sizes'])};keyframes={len(t['keyframes'])};ranges={marks}"
-                rows.append((doc, n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, t["codec"], t["duration"] / t["timescale"]))
-                ranges.append(t["ranges"])
-            if rows:
-                flat = np.concatenate(ranges)
-                cut = np.concatenate([[0], np.cumsum([len(r) for r in ranges])])
-                spans = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(pair)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), spans], [x.split(" ")[0] for x in names.split(", ")])
+            rows = []
+            for m in b.column("media"):
+                data = m.as_py()
+                tracks, body, error = describe_one(data)
+                seen = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                own = (None, None, None) if body is None else (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-UNIT:]))
+                rows.append((*seen, tracks, *own, error))
+            types = [arrow.field(i).type for i in range(len(kept), len(arrow))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(arrow.field(c).type) for c in kept), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], arrow.names) if rows else pa.RecordBatch.from_pylist([], schema=arrow)
 
-    return media.mapInArrow(run, names)
+    return media.select(*kept, "media").mapInArrow(run, schema)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store docs' texts as containers in the shared folder and describe them from what was stored: one row per row of docs."""
-    return describe_media(materialize(to_media(docs), "media"))
+    """Store docs' texts as containers in the shared folder and describe them from what was stored: one row per row of docs (doc_id, text).
+
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, codec, duration_s, keyframes. A null text is
+    empty; an empty one is 64 zero bytes; long ones are stored whole; equal texts have equal values; other columns are ignored.
+    """
+    d = describe_media(materialize(to_media(docs), "media"))
+    t = F.col("tracks")[0]
+    told = F.concat_ws(";", *[F.concat(F.lit(f"{c}="), t[c].cast("string")) for c in ("codec", "handler", "timescale", "duration", "samples", "n_keyframes")], F.concat(F.lit("ranges="), F.array_join(F.transform(t["keyframes"], lambda k: F.concat_ws("-", k["start"].cast("string"), k["end"].cast("string"))), ",")))
+    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", told.alias("feature"), t["codec"].alias("codec"), t["duration_s"].alias("duration_s"), t["keyframes"].alias("keyframes"))

@@ -65,8 +65,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media_columns(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media_columns(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
