@@ -1,7 +1,7 @@
 """Language identification by nearest centroids of TF-IDF character n-grams.
 
-Texts are lower-cased, and byte 1- to 4-grams that don't reach over more than one space are hashed into ``DIMS`` buckets. A model is
-fitted on at most ``SAMPLE`` labelled rows, drawn by a seeded hash in equal parts per language: IDF weights, and per language ``CENTROIDS`` unit centroids found by
+Texts are lower-cased, and byte 1- to 4-grams are hashed into ``DIMS`` buckets; counts end at ``MOST``, in training and prediction alike. A model is
+fitted on about ``SAMPLE`` labelled rows, at most twice that, drawn by a seeded hash of id and text in equal parts per language (the ``SAMPLE`` languages with the most rows): IDF weights, and per language ``CENTROIDS`` unit centroids found by
 spherical k-means. A text's language is that of the centroid with the largest cosine, which is also the score. A text whose
 cosine lies below its centroid's ``REJECT`` quantile of training cosines is marked ``rejected``; a text without a letter is ``und``.
 """
@@ -22,6 +22,7 @@ REJECT = 0.01
 SEED = 20240607
 _MUL = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
 PIECE = 1 << 18
+MOST = 65535
 
 
 def features(text: str) -> np.ndarray:
@@ -36,7 +37,7 @@ def features(text: str) -> np.ndarray:
             h = h[: len(b) - n] * np.uint32(_MUL[3]) + (b[n:] + np.uint32(1)) * np.uint32(_MUL[n]) if n else b * np.uint32(_MUL[0])
             k = h[:own]
             out += np.bincount(((k ^ (k >> np.uint32(15))) * np.uint32(_MUL[1]) >> np.uint32(20)).astype(np.int64), minlength=DIMS)
-    return out
+    return np.minimum(out, MOST)
 
 
 def has_letter(text: str | None) -> bool:
@@ -84,7 +85,48 @@ class Model:
         return Model(idf, names, np.array(rows, np.float32), np.array(least))
 
     def predict(self, counts: np.ndarray) -> list[tuple[str, float, bool]]:
-        cos = weigh(counts.astype(np.float32), self.idf).astype(np.float32) @ self.centroids.T
+        cos = weigh(counts.astype(np.float32), self.idf).astype(np.float64) @ self.centroids.T.astype(np.float64)
+        cos = np.round(cos, 9)  # so that a batch's size doesn't show
+        best = np.argmax(cos, axis=1)
+        top = np.clip(cos[np.arange(len(cos)), best].astype(np.float64), 0, 1)
+        return [(self.langs[b], float(s), bool(s < self.least[b])) for b, s in zip(best, top)]
+
+
+def held_out(doc_id: "F.Column"):
+    """crc32 of the id as text, modulo 4, is 2; a null id is never held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """Fit on rows with text and language that aren't held out; None if there are none. At most about ``sample`` rows reach the driver."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    if not sizes:
+        return None
+    per = max(1, sample // len(sizes))
+    rates = known.sparkSession.createDataFrame([(lang, min(1.0, per / n)) for lang, n in sizes.items()], "lang string, rate double")
+    key = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    rows = known.select(key.alias("key"), "doc_id", "lang", "text").join(F.broadcast(rates), "lang")  # at most ``sample`` languages
+    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < F.col("rate")).dropDuplicates(["key", "lang"]).select("key", "doc_id", "lang", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for key, doc, lang, text in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "lang", "text"))):
+                if has_letter(text):
+                    yield pa.RecordBatch.from_pydict({"key": [key], "doc_id": [doc], "lang": [lang], "counts": [features(text).astype("<u2").tobytes()]}, schema=pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("counts", pa.binary())]))
+
+    found = drawn.mapInArrow(run, "key long, doc_id long, lang string, counts binary")
+    rows = found.orderBy("key", "lang").limit(2 * sample + 64).collect()  # in the order of the hash: the same rows on every run
+    if not rows:
+        return None
+    return Model.fit(np.array([np.frombuffer(r["counts"], "<u2") for r in rows]), [r["lang"] for r in rows])
+
+
+def predict(self, counts: np.ndarray) -> list[tuple[str, float, bool]]:
+        cos = weigh(counts.astype(np.float32), self.idf).astype(np.float64) @ self.centroids.T.astype(np.float64)
+        cos = np.round(cos, 9)  # so that a batch's size doesn't show
         best = np.argmax(cos, axis=1)
         top = np.clip(cos[np.arange(len(cos)), best].astype(np.float64), 0, 1)
         return [(self.langs[b], float(s), bool(s < self.least[b])) for b, s in zip(best, top)]
@@ -150,7 +192,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Train on docs (doc_id, text, lang) and predict every row of it. Null and letterless texts are ``und`` with score 0; repeated rows agree."""
+    """Train on docs (doc_id, text, lang) and predict every row of it.
+
+    Null, empty and letterless texts are ``und`` with score 0; long texts are read whole; repeated rows agree; of equal cosines the first centroid by
+    language wins; an empty table gives no rows, one without usable labels only ``und``; other columns are ignored.
+    """
     return predict(docs, train(docs.select(F.col("doc_id").cast("long"), "text", "lang"), sample))
 
 

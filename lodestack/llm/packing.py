@@ -13,6 +13,8 @@ what remains is packed by best-fit decreasing on counts. The plan holds O(width)
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections import defaultdict
 
@@ -28,6 +30,7 @@ END = 2
 SPECIAL = "<|endoftext|>"
 
 
+@functools.lru_cache(maxsize=4)  # a worker's tasks share it
 def encoder(json_path: str, ranks_path: str | None = None):
     """text -> uint32 ids, as the tokenizer file gives them without added special tokens.
 
@@ -45,11 +48,34 @@ def encoder(json_path: str, ranks_path: str | None = None):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    check_same(json_path, ranks)
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda text: plain(text) if SPECIAL in text else fast.encode_to_numpy(text, disallowed_special=())
 
 
+@functools.cache
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def check_same(json_path: str, ranks: dict[bytes, int]) -> None:
+    """ValueError unless the tokenizer file is a byte-level BPE without normaliser whose tokens and merges are these ranks."""
+    with open(json_path, encoding="utf-8") as f:
+        t = json.load(f)
+    letters, model, pre = _byte_letters(), t["model"], t.get("pre_tokenizer") or {}
+    special = {x["content"] for x in t.get("added_tokens", [])}
+    own = {bytes(letters[c] for c in word): k for word, k in model["vocab"].items() if word not in special}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [own[bytes(letters[c] for c in a + b)] for a, b in pairs]
+    simple = model["type"] == "BPE" and t.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not simple or own != {w: k for w, k in ranks.items() if w.decode("utf-8", "replace") not in special} or made != sorted(made):
+        raise ValueError("the merge ranks aren't the tokenizer file's")
+
+
 def cuts(n: int, width: int = WIDTH) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: full ones, after a first that holds the remainder."""
     first = (n - 1) % width + 1
@@ -202,5 +228,9 @@ def pack(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, width: int = WIDTH, end: int = END, with_ids: bool = False) -> DataFrame:
-    """Tokenise docs (doc_id, text) and pack them: one row per piece. An empty docs gives no rows."""
+    """Tokenise docs (doc_id, text) and pack them: one row per piece.
+
+    Null and empty texts are a piece of one id; long texts are cut into pieces of ``width``; repeated rows and rows without a doc_id have pieces
+    of their own; pieces of one length are alike, so ties need no order; other columns are ignored. An empty docs gives no rows.
+    """
     return pack(materialize(tokenize(docs, json_path, ranks_path, width, end, with_ids), "pieces"), width)

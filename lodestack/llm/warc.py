@@ -7,7 +7,8 @@ dictionary is trained on them and written as a leading skippable frame (magic 0x
 frame of its own. The file is written under a name of its attempt's own and only listed in the task's result,
 so a task that is run again leaves no half or double archive in the index.
 
-Reading: a task streams an archive's frames and parses one record at a time.
+Reading: a task streams an archive's frames and parses one record at a time. A revisit's digest and length are those of the response that it
+refers to, as that was read; ids and digests alone are joined for that.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     later = ids.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
     later = later.select(F.col("digest").alias("_d"), F.col("page_id").alias("_p"), F.col("first_id").alias("refers_to")).distinct()
     rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("digest"))
-    return rows.join(later.hint("shuffle_hash"), (F.col("digest") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")), "left").drop("_d", "_p")
+    return rows.join(later, (F.col("digest") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")), "left").drop("_d", "_p")
 
 
 def _safe(value: str) -> str:
@@ -66,7 +67,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary of at most DICT_BYTES from these records; their plain bytes where they are too few to train on."""
+    """A dictionary of at most DICT_BYTES from these records; their plain bytes where they are too few to train on.
+
+    What it is trained on (an archive's first ``SAMPLE_BYTES``, the first 32 KB of each record) bounds how well it compresses, never what is stored."""
     import zstandard
 
     if len(records) >= 16:
@@ -235,7 +238,22 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
     return index.select("path").repartition(parts, "path").mapInArrow(load, names)
 
 
+def resolve(records: DataFrame) -> DataFrame:
+    """records of read_warc, revisits with the digest and length of the response they refer to; ``intact`` is false where that is missing or
+    not what the revisit's header says. records is a stored table."""
+    r = records.alias("r")
+    firsts = records.where("record_type = 'response' and page_id is not null").groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("n")).alias("f")
+    met = r.join(firsts, F.expr("r.refers_to = f.page_id and r.payload_digest = f.payload_digest"), "left")
+    revisit, there = F.col("r.record_type") == "revisit", F.col("f.n").isNotNull()
+    return met.select("r.page_id", "r.url", F.when(revisit & there, F.col("f.n")).otherwise(F.col("r.payload_bytes")).alias("payload_bytes"), F.when(revisit & there, F.col("f.payload_digest")).otherwise(F.col("r.payload_digest")).alias("payload_digest"), "r.record_type", "r.refers_to", (F.col("r.intact") & (~revisit | there & (F.col("f.n") == F.col("r.payload_bytes")))).alias("intact"))
+
+
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write pages as archives in the shared folder and read them back: one row per page."""
+    """Write pages as archives in the shared folder and read them back: one row per row of pages (page_id, url, html).
+
+    Null html is an empty payload; null ids and urls are left out of the headers and come back null; long payloads are stored whole; repeated
+    rows are records of their own; other columns are ignored; an empty table gives no rows.
+    """
     folder = new_folder(pages.sparkSession, "warc")
-    return read_warc(write_warc(pages.select("page_id", "url", "html"), folder), folder)
+    records = read_warc(write_warc(pages.select("page_id", "url", "html"), folder), folder)
+    return resolve(materialize(records, "warc-records"))

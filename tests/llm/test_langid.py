@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from lodestack.llm.langid import crc_held_out, features, identify
 from tests.llm import cases
@@ -49,6 +51,41 @@ def test_features_do_not_depend_on_pieces(monkeypatch):
     assert (features(text) == whole).all()
 
 
+def test_prediction_is_the_nearest_centroid(spark, tmp_path):
+    """The same n-grams, weights and cosines, one pair at a time in plain Python."""
+    from lodestack.llm.langid import DIMS, train
+    from lodestack.llm.langid import _MUL as M
+
+    rows = [r for r in data() if r[1] is None or len(r[1]) < 1000]
+    d = cases.stored(spark, tmp_path / "d", rows)
+    model = train(d.select("doc_id", "text", "lang"))
+    assert sorted(set(model.langs)) == ["de", "en", "fr"] and len(model.langs) == 12
+    got = {(r.doc_id, r.score): r.lang_pred for r in identify(d).collect()}
+    for doc, text, *_ in rows[::7]:
+        if not text or not any(c.isalpha() for c in text):
+            continue
+        raw, counts = (" " + text.lower() + " ").encode(), Counter()
+        for i in range(len(raw)):
+            h = 0
+            for n in range(4):
+                if i + n < len(raw):
+                    h = raw[i] * M[0] % 2**32 if n == 0 else (h * M[3] + (raw[i + n] + 1) * M[n]) % 2**32
+                    counts[((h ^ (h >> 15)) * M[1]) % 2**32 >> 20] += 1
+        v = [math.log1p(counts[k]) * float(model.idf[k]) for k in range(DIMS)]
+        norm = math.sqrt(sum(x * x for x in v))
+        cos = [sum(float(a) * b for a, b in zip(c, v)) / norm for c in model.centroids]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        (score,) = [s for i, s in got if i == doc][:1]
+        assert got[doc, score] == model.langs[best] and abs(score - cos[best]) < 1e-4
+
+
+def test_repeated_ids_and_long_counts_are_drawn_alike(spark, tmp_path):
+    rows = [(7 if i % 2 else i, f"the house {i} and that tree" if i % 3 else f"und das {i} nicht schön", "en" if i % 3 else "de", "s", 0, 0, 0, "") for i in range(600)]
+    d = cases.stored(spark, tmp_path / "d", rows)
+    a, b = (sorted(map(str, identify(x, sample=20).collect())) for x in (d, spark.read.parquet(str(tmp_path / "d")).repartition(5)))
+    assert a == b and features("a" * 200000).max() == 65535
+
+
 def test_empty_and_unlabelled_tables(spark, tmp_path):
     assert identify(cases.stored(spark, tmp_path / "d", [])).count() == 0
     only = cases.stored(spark, tmp_path / "e", [(1, "some text", None, "s", 0, 0, 0, "")])

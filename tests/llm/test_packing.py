@@ -3,7 +3,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -25,6 +27,20 @@ def test_special_token_string():
     assert SLOW("a<|endoftext|>b").tolist() == FAST("a<|endoftext|>b").tolist()
 
 
+def test_other_ranks_are_refused(tmp_path):
+    lines = open(RANKS, "rb").read().splitlines()
+    lines[300], lines[301] = lines[300].split()[0] + b" 301", lines[301].split()[0] + b" 300"
+    (tmp_path / "x.tiktoken").write_bytes(b"\n".join(lines))
+    with pytest.raises(ValueError):
+        encoder(JSON, str(tmp_path / "x.tiktoken"))
+
+
+def test_ids_of_a_whole_table_are_the_tokenizer_file_s():
+    texts = [t or "" for t in pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text]
+    for text, want in zip(texts, Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)):
+        assert FAST(text).tolist() == want.ids
+
+
 def test_pieces_and_places(spark, tmp_path):
     rows = cases.rows(80)
     got = pack_documents(cases.stored(spark, tmp_path / "d", rows).repartition(5), JSON, RANKS).collect()
