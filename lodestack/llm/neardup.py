@@ -12,7 +12,8 @@ Texts with equal shingle sets form a *class*; classes are joined, and copies are
    passes the size and position filters under each). Tokens known to be unique are not sent. Any order is
    correct if it depends on the token alone, so a full bitmap or a truncated list costs time, not links.
 4. ``verify``: sets of candidate classes are recomputed and sent to the tiles (pairs of hash buckets) in which they have a pair; the
-   number of buckets follows the measured size, so a tile holds about ``TILE_BYTES``.
+   number of buckets follows the measured size, so a tile holds about ``TILE_BYTES``, and tiles of many pairs are split, so it holds
+   about ``TILE_PAIRS`` of them. A tile gives no links, but each class's number of linked rows and a spanning forest: rows in proportion to its classes.
 5. ``components``: alternating large-star and small-star steps, each stored.
 
 No group is collected: hot tokens are joined by sort-merge (split by AQE), tiles are bounded, hot classes are one row.
@@ -38,6 +39,7 @@ HEAVY = 4
 BUCKET_TOKENS = 2_000_000
 FLUSH_TOKENS = 4_000_000
 TILE_BYTES = 16 << 20
+TILE_PAIRS = 1_000_000
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -235,13 +237,14 @@ def candidates(prefix: DataFrame, percent: int, orders: int) -> DataFrame:
     return seen.where(F.col("seen") == (1 << orders) - 1).drop("seen")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose exact Jaccard is at least percent / 100; pairs is a stored table."""
+def verify(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """What the pairs whose exact Jaccard is at least percent / 100 come to: rows (c1, n1, c2, n2) of spanning forests, and rows
+    (c1, n1, linked) with the rows of classes linked with c1, both in parts to be united and summed. pairs and sizes (cid, n, class_size) are stored tables."""
     spark = docs.sparkSession
     classes = pairs.select(F.col("c1").alias("cid"), F.col("n1").alias("n")).unionByName(pairs.select(F.col("c2").alias("cid"), F.col("n2").alias("n"))).distinct()
     total = classes.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     if total["k"] == 0:
-        return pairs
+        return pairs.withColumn("linked", F.lit(None).cast("long"))
     bits = min(26, max(16, math.ceil(math.log2(total["k"])) + 4))
     width = 1 << bits
     # a bounded filter of wanted classes; what it lets through wrongly is dropped by the join below
@@ -285,27 +288,43 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     bucket = lambda c: F.pmod(c, F.lit(buckets))
     tiled = pairs.withColumn("b1", bucket(F.col("c1"))).withColumn("b2", bucket(F.col("c2")))
     tiled = tiled.withColumn("ti", F.least("b1", "b2")).withColumn("tj", F.greatest("b1", "b2")).drop("b1", "b2")
-    places = tiled.select("ti", "tj", F.col("c1").alias("cid"), F.col("n1").alias("n")).unionByName(tiled.select("ti", "tj", F.col("c2").alias("cid"), F.col("n2").alias("n"))).distinct()
+    held = tiled.groupBy("ti", "tj").agg(F.ceil(F.count("*") / TILE_PAIRS).alias("parts"))
+    tiled = tiled.join(held, ["ti", "tj"]).withColumn("part", F.pmod(F.xxhash64("c1", "n1", "c2", "n2"), F.col("parts"))).drop("parts")
+    own = lambda k: tiled.select("ti", "tj", "part", F.col(f"c{k}").alias("cid"), F.col(f"n{k}").alias("n"))
+    places = own(1).unionByName(own(2)).distinct().join(sizes.select("cid", "n", "class_size"), ["cid", "n"])
     stored = docs.select(F.col("text").cast("string")).mapInArrow(sets, "cid long, n long, tokens binary")
-    placed = places.join(stored, ["cid", "n"]).select(F.col("ti").alias("si"), F.col("tj").alias("sj"), "cid", "n", "tokens")
+    placed = places.join(stored, ["cid", "n"]).select(F.col("ti").alias("si"), F.col("tj").alias("sj"), F.col("part").alias("sp"), "cid", "n", "class_size", "tokens")
 
     def check(left, right):
         import pyarrow as pa
 
-        held = {}
-        for c, n, t in zip(right.column("cid").to_pylist(), right.column("n").to_pylist(), right.column("tokens")):
+        held, weight = {}, {}
+        for c, n, w, t in zip(*(right.column(x).to_pylist() for x in ("cid", "n", "class_size")), right.column("tokens")):
             if (c, n) not in held:
-                held[c, n] = np.frombuffer(t.as_buffer(), np.uint64)
-        keep = []
+                held[c, n], weight[c, n] = np.frombuffer(t.as_buffer(), np.uint64), w
+        linked, above, forest = {}, {}, []
+
+        def root(x):
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
         for c1, n1, c2, n2 in zip(*(left.column(x).to_pylist() for x in ("c1", "n1", "c2", "n2"))):
             a, b = held[c1, n1], held[c2, n2]
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
             both = int((b[at] == a).sum())
-            keep.append(100 * both >= percent * (n1 + n2 - both))
-        return left.select(["c1", "n1", "c2", "n2"]).filter(pa.array(keep, pa.bool_()))
+            if 100 * both >= percent * (n1 + n2 - both):
+                linked[c1, n1] = linked.get((c1, n1), 0) + weight[c2, n2]
+                linked[c2, n2] = linked.get((c2, n2), 0) + weight[c1, n1]
+                x, y = root((c1, n1)), root((c2, n2))
+                if x != y:
+                    above[x] = y
+                    forest.append((c1, n1, c2, n2, None))
+        rows = forest + [(c, n, None, None, k) for (c, n), k in linked.items()]
+        return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("c1", "n1", "c2", "n2", "linked"))})
 
-    return tiled.groupBy("ti", "tj").cogroup(placed.groupBy("si", "sj")).applyInArrow(check, "c1 long, n1 long, c2 long, n2 long")
+    return tiled.groupBy("ti", "tj", "part").cogroup(placed.groupBy("si", "sj", "sp")).applyInArrow(check, "c1 long, n1 long, c2 long, n2 long, linked long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,10 +366,9 @@ def _grouped(d: DataFrame, row: str, percent: int, orders: int) -> DataFrame:
         return rows.select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), "_key", F.lit(None).cast("string").alias("root"))
     prefix = materialize(prefixes(d, frequency_order(d, tokens), percent, orders).distinct(), "prefixes")
     pairs = materialize(candidates(prefix, percent, orders), "candidates")
-    links = materialize(verify(d, pairs, percent), "links")
-    both = links.select("c1", "n1", F.col("c2").alias("cid"), F.col("n2").alias("n")).unionByName(links.select(F.col("c2").alias("c1"), F.col("n2").alias("n1"), F.col("c1").alias("cid"), F.col("n1").alias("n")))
-    degree = both.join(classes, ["cid", "n"]).groupBy(F.col("c1").alias("cid"), F.col("n1").alias("n")).agg(F.sum("class_size").alias("linked"))
-    roots = components(links.select(F.concat_ws(":", "c1", "n1").alias("a"), F.concat_ws(":", "c2", "n2").alias("b")))
+    links = materialize(verify(d, pairs, classes, percent), "links")
+    degree = links.where("c2 is null").groupBy(F.col("c1").alias("cid"), F.col("n1").alias("n")).agg(F.sum("linked").alias("linked"))
+    roots = components(links.where("c2 is not null").select(F.concat_ws(":", "c1", "n1").alias("a"), F.concat_ws(":", "c2", "n2").alias("b")))
     found = classes.join(degree, ["cid", "n"], "left").where("class_size > 1 or linked is not null")
     found = found.withColumn("v", key).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = found.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -82,6 +82,7 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, tight):
         monkeypatch.setattr(neardup, "MAX_HEAVY", 8)
         monkeypatch.setattr(neardup, "MAX_BITS", 1 << 8)
         monkeypatch.setattr(neardup, "TILE_BYTES", 1 << 12)
+        monkeypatch.setattr(neardup, "TILE_PAIRS", 7)
         monkeypatch.setattr(neardup, "FLUSH_TOKENS", 500)
     rows = data()
     got = [(r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard_groups(cases.stored(spark, tmp_path / "d", rows)).collect()]
