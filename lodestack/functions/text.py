@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,11 +23,29 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(JVM_TOKEN), F.lit(0)), F.expr("cast(array() as array<string>)"))
 
 
-def query_tokens(query: str) -> list[str]:
-    """The simple profile for a query string on the driver."""
+#: How texts become terms: "simple" runs in the JVM, "unicode" follows the word boundaries of folded text.
+PROFILES = ("simple", "unicode")
+
+
+def profile_tokens(text: Column, profile: str = "simple") -> Column:
+    """The tokens of a column under a profile."""
+    if profile not in PROFILES:
+        raise ValueError(f"no tokenizer {profile!r}; there are {PROFILES}")
+    return tokens(text) if profile == "simple" else unicode_tokens(text)
+
+
+def query_tokens(query: str, profile: str = "simple") -> list[str]:
+    """The tokens of a query string on the driver."""
     import regex
 
-    return regex.findall(TOKEN, query.lower())
+    if profile not in PROFILES:
+        raise ValueError(f"no tokenizer {profile!r}; there are {PROFILES}")
+    return regex.findall(TOKEN, query.lower()) if profile == "simple" else [w for w, _, _ in word_tokens(query)]
+
+
+def valid_utf8(raw: Column) -> Column:
+    """Whether bytes are valid UTF-8; null stays null."""
+    return F.is_valid_utf8(raw)
 
 
 def fold(text: str) -> str:
@@ -69,15 +88,36 @@ def unicode_tokens(text: Column | str) -> Column:
 _SENTENCE = re.compile(r"[.!?。！？]+[\"'”’)\]»]*(?:\s+|$)|\n+|(?<=[。！？])")
 
 
+def _fnv(h: int, data: bytes) -> int:
+    for byte in data:
+        h = (h ^ byte) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 def fnv_passage_id(document_id: str, ordinal: int, text: str) -> str:
     """p- and 16 hex digits: a 64-bit multiply-xor hash of id bytes, ordinal and text bytes."""
-    h, prime, mask = 1469598103934665603, 1099511628211, (1 << 64) - 1
-    for byte in document_id.encode():
-        h = (h ^ byte) * prime & mask
-    h = (h ^ (ordinal & 0xFFFFFFFF)) * prime & mask
-    for byte in text.encode():
-        h = (h ^ byte) * prime & mask
-    return f"p-{h:016x}"
+    h = _fnv(1469598103934665603, document_id.encode())
+    h = (h ^ (ordinal & 0xFFFFFFFF)) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+    return f"p-{_fnv(h, text.encode()):016x}"
+
+
+def fnv_passage_ids(keys: list[tuple[str, int, str]]) -> list[str]:
+    """fnv_passage_id() of many passages at once: one step a byte place for all of them. Passages are bounded, so the matrix is."""
+    if not keys:
+        return []
+    texts = [t.encode() for _, _, t in keys]
+    sizes = np.array([len(t) for t in texts])
+    grid = np.zeros((int(sizes.max()), len(keys)), np.uint64)
+    for i, t in enumerate(texts):
+        grid[: len(t), i] = np.frombuffer(t, np.uint8)
+    prime, begun = np.uint64(1099511628211), {}
+    for d, _, _ in keys:
+        if d not in begun:
+            begun[d] = _fnv(1469598103934665603, d.encode())
+    h = (np.array([begun[d] for d, _, _ in keys], np.uint64) ^ np.array([o & 0xFFFFFFFF for _, o, _ in keys], np.uint64)) * prime
+    for k, column in enumerate(grid):
+        h = np.where(sizes > k, (h ^ column) * prime, h)
+    return [f"p-{int(x):016x}" for x in h]
 
 
 def graphemes(text: str) -> list[int]:
@@ -88,7 +128,14 @@ def graphemes(text: str) -> list[int]:
 
 
 def sentence_chunks(document_id: str, text: str, most: int = CHUNK_MAX, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, int, int, str, str]]:
-    """Passages of folded text: the longest run of graphemes up to ``most`` code points, ended at its last sentence boundary
+    """sentence_places() with passage ids."""
+    found = list(sentence_places(text, most, overlap))
+    for (o, a, b, t), p in zip(found, fnv_passage_ids([(document_id, o, t) for o, _, _, t in found])):
+        yield o, a, b, t, p
+
+
+def sentence_places(text: str, most: int = CHUNK_MAX, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, int, int, str]]:
+    """(ordinal, start, end, text) of the passages of folded text: the longest run of graphemes up to ``most`` code points, ended at its last sentence boundary
     if it has one; blank pieces are skipped without using an ordinal; the next passage begins ``overlap`` back."""
     if not 0 <= overlap < most:
         raise ValueError("the overlap has to be smaller than a passage")
@@ -110,7 +157,7 @@ def sentence_chunks(document_id: str, text: str, most: int = CHUNK_MAX, overlap:
                 return
             start = end
             continue
-        yield ordinal, start, end, piece, fnv_passage_id(document_id, ordinal, piece)
+        yield ordinal, start, end, piece
         ordinal += 1
         if end == n:
             return
@@ -176,6 +223,15 @@ def snippet_graphemes(text: str, terms: list[str], most: int = 180) -> str:
     return text[edges[max(0, min(a, b - most))] : edges[b]]
 
 
+def snippets(text: Column | str, terms: list[str], most: int = 180) -> Column:
+    """snippet_graphemes() as an Arrow-batched column, for the few rows of a page."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else snippet_graphemes(t, terms, most))
+
+    return F.pandas_udf(run, "string")(text)
+
+
 # -- ids, truncation, splitting
 
 
@@ -186,19 +242,21 @@ def truncate_bytes(text: str, most: int) -> str:
 
 def split_text(text: str, most: int) -> list[str]:
     """Lossless parts of at most ``most`` UTF-8 bytes; a part ends after the last blank line or line break in its second half, if any."""
-    out, rest = [], text
-    while len(rest.encode()) > most:
-        head = truncate_bytes(rest, most)
-        if not head:
+    raw, out, at = text.encode(), [], 0
+    while len(raw) - at > most:
+        end = at + most
+        while end > at and raw[end] & 0xC0 == 0x80:  # not inside a code point
+            end -= 1
+        if end == at:
             raise ValueError("a part can't hold one character")
-        for mark in ("\n\n", "\n"):
-            at = head.rfind(mark)
-            if at >= 0 and len(head[: at + len(mark)].encode()) > most // 2:
-                head = head[: at + len(mark)]
+        for mark in (b"\n\n", b"\n"):
+            found = raw.rfind(mark, at, end)
+            if found >= 0 and found + len(mark) - at > most // 2:
+                end = found + len(mark)
                 break
-        out.append(head)
-        rest = rest[len(head) :]
-    return out + [rest] if rest or not out else out
+        out.append(raw[at:end].decode())
+        at = end
+    return out + [raw[at:].decode()] if at < len(raw) or not out else out
 
 
 def truncate_utf8(most: int):

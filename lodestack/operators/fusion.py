@@ -63,13 +63,16 @@ def decode_cursor(cursor: str, generation: int, digest: str) -> int:
 
 
 def context_fold(hits: DataFrame, max_passages: int = 10, per_document: int = 3, max_bytes: int = 16384) -> DataFrame:
-    """One row (context, used_bytes, citations) from ranked hits (rank, passage_id, document_id, text).
+    """One row (context, used_bytes, citations) from ranked hits (rank, passage_id, document_id, text, and any others).
 
     Walks at most a page of hits in rank order; a passage that is chosen already, whose document is full or that doesn't fit is passed over
-    without counting. Hits are bounded by the request's limit, so collecting them into one row is safe.
+    without counting. A citation is a hit's columns with its byte range (start, end) in the context. Hits are bounded by the request's limit, so
+    collecting them into one row is safe.
     """
-    item = "struct<passage_id:string,document_id:string,start:int,end:int>"
-    start = F.struct(F.lit(0).alias("used"), F.lit("").alias("context"), F.expr(f"cast(array() as array<{item}>)").alias("cites"))
+    kept = [c for c in hits.columns if c not in ("rank", "passage_id", "document_id")]
+    hit = F.struct("rank", F.col("passage_id").cast("string").alias("passage_id"), F.col("document_id").cast("string").alias("document_id"), *kept)
+    item = "struct<i:int,passage_id:string,document_id:string,start:int,end:int>"
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("i"), F.lit("").alias("context"), F.expr(f"cast(array() as array<{item}>)").alias("cites"))
 
     def step(a: Column, h: Column) -> Column:
         gap = F.when(F.size(a["cites"]) > 0, 2).otherwise(0)
@@ -77,16 +80,18 @@ def context_fold(hits: DataFrame, max_passages: int = 10, per_document: int = 3,
         fresh = ~F.exists(a["cites"], lambda c: c["passage_id"] == h["passage_id"])
         same = F.size(F.filter(a["cites"], lambda c: c["document_id"] == h["document_id"]))
         fits = (F.size(a["cites"]) < max_passages) & fresh & (same < per_document) & (size + gap <= max_bytes - a["used"])
-        cite = F.struct(h["passage_id"].alias("passage_id"), h["document_id"].alias("document_id"), (a["used"] + gap).alias("start"), (a["used"] + gap + size).alias("end"))
+        cite = F.struct(a["i"].alias("i"), h["passage_id"].alias("passage_id"), h["document_id"].alias("document_id"), (a["used"] + gap).alias("start"), (a["used"] + gap + size).alias("end"))
         return F.struct(
             F.when(fits, a["used"] + gap + size).otherwise(a["used"]).alias("used"),
+            (a["i"] + 1).alias("i"),
             F.when(fits, F.concat(a["context"], F.when(gap > 0, "\n\n").otherwise(""), h["text"])).otherwise(a["context"]).alias("context"),
             F.when(fits, F.concat(a["cites"], F.array(cite))).otherwise(a["cites"]).alias("cites"),
         )
 
-    rows = hits.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("passage_id").cast("string").alias("passage_id"), F.col("document_id").cast("string").alias("document_id"), "text"))).alias("h"))
-    folded = rows.select(F.aggregate("h", start, step).alias("f"))
-    return folded.select(F.col("f.context").alias("context"), F.col("f.used").alias("used_bytes"), F.col("f.cites").alias("citations"))
+    folded = hits.agg(F.array_sort(F.collect_list(hit)).alias("h")).select("h", F.aggregate("h", start, step).alias("f"))
+    others = [c for c in kept if c not in ("start", "end")]
+    cites = F.transform("f.cites", lambda c: F.struct(c["passage_id"].alias("passage_id"), c["document_id"].alias("document_id"), c["start"].alias("start"), c["end"].alias("end"), *[F.get("h", c["i"])[o].alias(o) for o in others]))
+    return folded.select(F.col("f.context").alias("context"), F.col("f.used").alias("used_bytes"), cites.alias("citations"))
 
 
 def rag_prompt(hits: Column, question: str) -> Column:

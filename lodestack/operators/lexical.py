@@ -1,11 +1,15 @@
-"""Lexical search: occurrences, postings, BM25F with OR, AND and phrase matching, over any number of documents.
+"""Lexical search: occurrences, stored postings, BM25F with OR, AND and phrase matching, over any number of documents.
 
-An index is a pair of tables (``postings``, ``lengths``); queries filter postings by term before anything is shuffled, so a stored index
-clustered by term is read by row groups, and every shuffle holds only rows of query terms.
+A stored index is a Parquet table of postings, in buckets by the hash of the term and sorted by term inside a bucket, beside a table
+of objects with their lengths. A query reads the buckets of its terms, in them the pages that hold those terms, and no text; what is shuffled
+is rows of query terms. Statistics come with the index. ``score`` searches a table that has no index, in two scans of its texts.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions.scoring import bm25f, field_weight
-from lodestack.functions.text import tokens
+from lodestack.functions.text import profile_tokens, tokens
+from lodestack.storage import Files
 
 BOOSTS = {"title": 2.0, "body": 1.0, "passage": 1.0}
 BLOCK = 128
@@ -36,13 +41,17 @@ def corpus_stats(objects: DataFrame, fields: list[str]) -> DataFrame:
 
 def postings(occ: DataFrame, fields: list[str], key: str = "id", positions: bool = False) -> DataFrame:
     """(term, key, tf_<field>, len_<field>...): one row per term and object; positions sorted per field on demand."""
+    return occ.groupBy("term", key).agg(*_posting_aggs(fields, positions))
+
+
+def _posting_aggs(fields: list[str], positions: bool) -> list[Column]:
     aggs = []
     for f in fields:
         here = F.col("field") == f
         aggs += [F.sum(F.when(here, 1).otherwise(0)).cast("long").alias(f"tf_{f}"), F.coalesce(F.max(F.when(here, F.col("field_len"))), F.lit(0)).cast("long").alias(f"len_{f}")]
         if positions:
             aggs.append(F.sort_array(F.collect_list(F.when(here, F.col("pos")))).alias(f"pos_{f}"))
-    return occ.groupBy("term", key).agg(*aggs)
+    return aggs
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -81,10 +90,148 @@ def score(objects: DataFrame, terms: list[str], fields: list[str], key: str = "i
     return hits
 
 
+# -- stored postings
+
+#: Objects' texts of this many bytes share a bucket of postings.
+BUCKET_BYTES = 64 << 20
+MAX_BUCKETS = 4096
+SALTS = 8
+
+
+def bucket_count(text_bytes: int) -> int:
+    """A power of two, so that indexes of different sizes have few different numbers of buckets."""
+    return min(MAX_BUCKETS, 1 << max(0, -(-text_bytes // BUCKET_BYTES) - 1).bit_length())
+
+
+def write_postings(objects: DataFrame, fields: list[str], path: str, buckets: int, key: str = "id", carry: tuple[str, ...] = (), profile: str = "simple") -> None:
+    """Postings of objects (key, fields, and the columns ``carry``, which go with each posting), with positions: one shuffle of the occurrences.
+
+    A term has at most one posting an object, and a bucket's are spread over salts of the key, so no term makes a hot task.
+    """
+    t = objects.select(key, *carry, *[profile_tokens(F.col(f), profile).alias(f"_t{i}") for i, f in enumerate(fields)])
+    occ = t.select(key, *carry, F.inline(F.concat(*[F.transform(f"_t{i}", _placed(f, f"_t{i}")) for i, f in enumerate(fields)])))
+    place = {"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "_salt": F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(min(SALTS, buckets))).cast("int")}
+    occ = occ.withColumns(place).repartition("bucket", "_salt")
+    post = occ.groupBy("bucket", "_salt", "term", key, *carry).agg(*_posting_aggs(fields, True)).drop("_salt")
+    post.sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(path)
+
+
+def write_objects(objects: DataFrame, fields: list[str], path: str, key: str = "id", carry: tuple[str, ...] = (), profile: str = "simple") -> None:
+    """One row per object: key, the columns ``carry``, and the length of each field."""
+    objects.select(key, *carry, *[F.size(profile_tokens(F.col(f), profile)).cast("long").alias(f"len_{f}") for f in fields]).write.parquet(path)
+
+
+def index_stats(objects: DataFrame, fields: list[str]) -> dict:
+    """n and tokens_<field> of a stored table of objects."""
+    row = objects.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"len_{f}"), F.lit(0)).alias(f"tokens_{f}") for f in fields]).first()
+    return row.asDict()
+
+
+def _same(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Stored postings of one kind of objects: parts (path, buckets) of one schema, statistics, and a filter of rows that don't count."""
+
+    spark: object
+    parts: tuple[tuple[str, int], ...]
+    schema: object
+    fields: tuple[str, ...]
+    stats: dict
+    key: str = "id"
+    live: Callable[[DataFrame], DataFrame] = _same
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """The postings, or only those of ``terms``: their buckets, and the filter on the term goes to the Parquet pages."""
+        by: dict[int, list[str]] = {}
+        for path, buckets in self.parts:
+            by.setdefault(buckets, []).append(path)
+        found = []
+        for buckets, paths in sorted(by.items()):
+            rows = reduce(DataFrame.unionByName, [self.spark.read.schema(self.schema).parquet(p) for p in paths])
+            if terms is not None:
+                own = reduce(lambda a, b: a | b, [F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms])
+                rows = rows.where(own & F.col("term").isin(terms))
+            found.append(rows)
+        rows = reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], self.schema)
+        return self.live(rows)
+
+    def _weighted(self, rows: DataFrame, boosts: dict[str, float]) -> Column:
+        """A posting's weighted frequency over all fields."""
+        n = self.stats["n"]
+        parts = [field_weight(F.col(f"tf_{f}").cast("double"), F.col(f"len_{f}").cast("double"), F.lit(float(self.stats[f"tokens_{f}"]) / n if n else 0.0), boosts[f]) for f in self.fields]
+        return reduce(lambda a, b: a + b, parts)
+
+    def score(self, terms: list[str], operator: str = "or", phrase: list[str] | None = None, where: Callable[[DataFrame], DataFrame] = _same, boosts: dict[str, float] | None = None) -> DataFrame:
+        """(key, score, matched) as ``score`` gives them; ``where`` keeps the postings of objects that may be found."""
+        distinct = list(dict.fromkeys(terms))
+        post = self.postings(distinct) if distinct else self.postings([""]).where(F.lit(False))
+        df = post.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+        mine = where(post)
+        rows = mine.join(F.broadcast(df), "term")  # a row per query term
+        value = bm25f(self._weighted(rows, boosts or BOOSTS), F.lit(float(self.stats["n"])), F.col("df"))
+        hits = rows.select(self.key, value.alias("_s")).groupBy(self.key).agg(F.round(F.sum("_s"), 6).alias("score"), F.count("*").alias("matched")).where("score > 0")
+        if operator == "and" or phrase:
+            hits = hits.where(F.col("matched") == len(distinct))
+        if phrase:
+            hits = hits.join(self.phrase(phrase, where), self.key, "left_semi")
+        return hits
+
+    def phrase(self, phrase: list[str], where: Callable[[DataFrame], DataFrame] = _same) -> DataFrame:
+        """Keys of objects in which the tokens follow one another in one field, from stored positions."""
+        rows = where(self.postings(list(dict.fromkeys(phrase))))
+        places = [F.transform(f"pos_{f}", _of_field(f)) for f in self.fields]
+        return _runs(rows.select(self.key, "term", F.inline(F.concat(*places))), phrase, self.key)
+
+    def score_many(self, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, profile: str = "simple") -> DataFrame:
+        """(query_id, key, score, rank): the best k of every query (query_id, query), each read whole; postings are joined to the queries by term."""
+        wanted = queries.select("query_id", F.explode(F.array_distinct(profile_tokens(F.col("query"), profile))).alias("term"))
+        post = self.postings().join(wanted.select("term").distinct(), "term", "left_semi")
+        scored = post.join(document_frequency(post), "term")
+        scored = scored.select("term", self.key, bm25f(self._weighted(scored, boosts or BOOSTS), F.lit(float(self.stats["n"])), F.col("df").cast("double")).alias("_s"))
+        hits = wanted.join(scored, "term").groupBy("query_id", self.key).agg(F.round(F.sum("_s"), 6).alias("score")).where("score > 0")
+        ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), self.key)))
+        return ranked.where(F.col("rank") <= k)
+
+
+def build_index(objects: DataFrame, fields: list[str], folder: str, key: str = "id", carry: tuple[str, ...] = (), profile: str = "simple") -> LexicalIndex:
+    """Store the postings and lengths of a table of objects (key, fields) below folder, and its statistics."""
+    spark = objects.sparkSession
+    size = objects.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in fields])), F.lit(0))).first()[0]
+    buckets = bucket_count(size)
+    write_postings(objects, fields, f"{folder}/postings", buckets, key, carry, profile)
+    write_objects(objects, fields, f"{folder}/objects", key, carry, profile)
+    stats = index_stats(spark.read.parquet(f"{folder}/objects"), fields)
+    Files(spark).write(f"{folder}/index.json", json.dumps({"buckets": buckets, "stats": stats, "fields": fields, "key": key}))
+    return LexicalIndex(spark, ((f"{folder}/postings", buckets),), posting_schema(objects, fields, key, carry), tuple(fields), stats, key)
+
+
+def schema_of(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
+
+
+def posting_schema(objects: DataFrame, fields: list[str], key: str = "id", carry: tuple[str, ...] = ()):
+    """The schema of write_postings() over objects."""
+    kind = dict(objects.dtypes)
+    own = ["term string", *[f"{c} {kind[c]}" for c in (key, *carry)]]
+    return schema_of(", ".join([*own, *[f"tf_{f} long, len_{f} long, pos_{f} array<int>" for f in fields], "bucket int"]))
+
+
+# -- scans
+
+
 def _is(term: str):
     return lambda x: x == term
 
 
+def _of_field(field: str):
+    return lambda p: F.struct(F.lit(field).alias("field"), p.alias("pos"))
+
+
 def _placed(field: str, column: str):
     return lambda x, at: F.struct(F.lit(field).alias("field"), at.alias("pos"), x.alias("term"), F.size(column).alias("field_len"))
 
@@ -95,29 +242,14 @@ def _query_tokens(objects: DataFrame, terms: list[str], fields: list[str], key:
     return t.select(key, *[F.size(f"_t_{f}").alias(f"len_{f}") for f in fields], *[F.filter(f"_t_{f}", lambda x: x.isin(terms)).alias(f"_q_{f}") for f in fields])
 
 
-def score_many(objects: DataFrame, queries: DataFrame, fields: list[str], k: int, key: str = "id", boosts: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, key, score, rank) for a batch of queries (query_id, query): one pass over the objects for all of them.
-
-    Postings of terms that some query has are made once and joined to the queries by term; Spark broadcasts the query side only if
-    it is small. Each query's best k are taken by a ranked window over its own hits.
-    """
-    boosts = boosts or BOOSTS
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    occ = occurrences(objects, fields, key).join(wanted.select("term").distinct(), "term", "left_semi")
-    post = postings(occ, fields, key)
-    df = document_frequency(post)
-    post = post.join(df, "term").crossJoin(F.broadcast(corpus_stats(objects, fields)))  # one row
-    weight = reduce(lambda a, b: a + b, [field_weight(F.col(f"tf_{f}").cast("double"), F.col(f"len_{f}").cast("double"), F.col(f"tokens_{f}").cast("double") / F.col("n"), boosts[f]) for f in fields])
-    scored = post.select("term", key, bm25f(weight, F.col("n").cast("double"), F.col("df").cast("double")).alias("_s"))
-    hits = wanted.join(scored, "term").groupBy("query_id", key).agg(F.round(F.sum("_s"), 6).alias("score")).where("score > 0")
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key)))
-    return ranked.where(F.col("rank") <= k)
-
-
 def phrase_objects(objects: DataFrame, phrase: list[str], fields: list[str], key: str = "id") -> DataFrame:
     """Keys of objects in which the tokens follow one another in one field: places minus query places that agree for all tokens."""
+    return _runs(occurrences(objects, fields, key, list(dict.fromkeys(phrase))), phrase, key)
+
+
+def _runs(occ: DataFrame, phrase: list[str], key: str) -> DataFrame:
+    """Keys with all of the phrase's places: a relational division on position differences."""
     q = F.create_map(*[x for t in dict.fromkeys(phrase) for x in (F.lit(t), F.array(*[F.lit(i) for i, w in enumerate(phrase) if w == t]))])
-    occ = occurrences(objects, fields, key, list(dict.fromkeys(phrase)))
     hits = occ.select(key, "field", "pos", F.explode(F.element_at(q, F.col("term"))).alias("qpos"))
     runs = hits.groupBy(key, "field", (F.col("pos") - F.col("qpos")).alias("start")).agg(F.count_distinct("qpos").alias("k"))
     return runs.where(F.col("k") == len(phrase)).select(key).distinct()

@@ -1,8 +1,7 @@
-"""Vector search: exact top-k, best passage per document, and an LSH candidate search with exact rescoring."""
+"""Vector search of one query: exact top-k and the best passage per document. Batches and approximate search are in ``ann``."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,73 +26,3 @@ def nearest(vectors: DataFrame, query: DataFrame, metric: str, k: int, key: str
 def best_per_document(scored: DataFrame, parent: Column, k: int) -> DataFrame:
     """(document_id, score): the largest passage score of each parent."""
     return scored.groupBy(parent.alias("document_id")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "document_id").limit(k)
-
-
-def nearest_many(vectors: DataFrame, queries: np.ndarray, metric: str, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(q, key, score) for a batch of query vectors: one pass with a matrix product per Arrow batch and k rows per batch and query
-    sent on. The queries are a bounded driver-side matrix."""
-    shared = vectors.sparkSession.sparkContext.broadcast(np.asarray(queries, np.float64))
-
-    def run(batches):
-        import pyarrow as pa
-
-        q = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            col = b.column(1)
-            x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            s = q @ x.T
-            if metric == "cosine":
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                s = np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
-            elif metric == "l2":
-                s = -((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * s)
-            ids = np.asarray(b.column(0))
-            m = min(k, b.num_rows)
-            for i in range(len(q)):
-                best = np.lexsort((ids, -s[i]))[:m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, i)), pa.array(ids[best]), pa.array(s[i][best])], ["q", key, "score"])
-
-    from pyspark.sql import Window as W
-
-    found = vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, f"q long, {key} long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), key)))
-    return ranked.where(F.col("rank") <= k)
-
-
-def lsh_candidates(vectors: DataFrame, queries: np.ndarray, bits: int = 8, tables: int = 24, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(q, key): vectors that share a sign-projection bucket with a query in at least one table."""
-    dims = queries.shape[1]
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
-    weights = 1 << np.arange(bits)
-    codes = lambda x: ((np.einsum("tbd,nd->ntb", planes, x) > 0) * weights).sum(axis=2)
-    shared = vectors.sparkSession.sparkContext.broadcast((planes, codes(np.asarray(queries, np.float64))))
-
-    def run(batches):
-        import pyarrow as pa
-
-        p, own = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            c = ((np.einsum("tbd,nd->ntb", p, x) > 0) * weights).sum(axis=2)
-            ids = np.asarray(b.column(0))
-            for i, code in enumerate(own):
-                on = (c == code[None, :]).any(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(on.sum()), i)), pa.array(ids[on])], ["q", key])
-
-    return vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, f"q long, {key} long")
-
-
-def lsh_nearest(vectors: DataFrame, queries: np.ndarray, metric: str, k: int, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
-    """Top-k among LSH candidates with exact scores."""
-    from pyspark.sql import Window as W
-
-    spark = vectors.sparkSession
-    q = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(queries)], "q long, qv array<double>")
-    found = lsh_candidates(vectors, queries, key=key, vector=vector, **options)
-    scored = found.join(vectors.select(key, vector), key).join(F.broadcast(q), "q").withColumn("score", F.round(vector_score(metric, F.col("qv"), F.col(vector)), 6))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), key)))
-    return ranked.where(F.col("rank") <= k).select("q", key, "score", "rank")

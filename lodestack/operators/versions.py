@@ -99,6 +99,12 @@ def plan_segments(sizes: list[int], target: int = 128 * MIB, hard: int = 256 * M
     return out
 
 
+def slice_count(size: int, target: int = 128 * MIB, hard: int = 256 * MIB) -> int:
+    """In how many segments of about ``target`` bytes to write a batch: one as long as that stays below ``hard``. Documents are dealt by a hash of
+    their id, whole, so no order of all documents is needed."""
+    return 1 if size <= hard else -(-size // target)
+
+
 def base_delta(current: DataFrame, base: DataFrame) -> DataFrame:
     """(segment_id, fingerprint, state): base where the base has the same segment, else delta; missing for what only the base has."""
     keys = ["segment_id", "fingerprint"]
@@ -106,15 +112,28 @@ def base_delta(current: DataFrame, base: DataFrame) -> DataFrame:
     return now.unionByName(base.join(current, keys, "left_anti").select(*keys, F.lit("missing").alias("state")))
 
 
-def microbatch_groups(requests: DataFrame, most: int = 10_000) -> list[list[int]]:
-    """Requests (request, ids) in order, grouped so that no id repeats within a group and no group passes ``most`` operations.
-    One row per request of a micro-batch (bounded by its trigger)."""
+def group_requests(requests: list[tuple[int, list]], most: int = 10_000) -> list[list[int]]:
+    """Requests (number, ids) in order, grouped so that no id repeats between the requests of a group and no group passes ``most`` operations."""
     groups, seen, size = [], set(), 0
-    for r in requests.orderBy("request").toLocalIterator():
-        if not groups or size + len(r["ids"]) > most or seen & set(r["ids"]):
+    for request, ids in requests:
+        if not groups or size + len(ids) > most or seen & set(ids):
             groups.append([])
             seen, size = set(), 0
-        groups[-1].append(r["request"])
-        seen |= set(r["ids"])
-        size += len(r["ids"])
+        groups[-1].append(request)
+        seen |= set(ids)
+        size += len(ids)
     return groups
+
+
+def microbatches(requests: DataFrame, most: int = 10_000) -> DataFrame:
+    """(trigger, batch, request) of requests (trigger, request, ids): group_requests() within each trigger, whose requests one task holds."""
+    import pandas as pd
+
+    kind = dict(requests.dtypes)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("request")
+        rows = [(part["trigger"].iloc[0], b, r) for b, group in enumerate(group_requests([(r, list(i)) for r, i in zip(part["request"], part["ids"])], most)) for r in group]
+        return pd.DataFrame(rows, columns=["trigger", "batch", "request"])
+
+    return requests.groupBy("trigger").applyInPandas(run, f"trigger {kind['trigger']}, batch long, request {kind['request']}")

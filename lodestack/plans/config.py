@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 
 from lodestack.functions.filters import MAX_FIELD_BYTES, MAX_FIELDS
 from lodestack.functions.scoring import METRICS
+from lodestack.functions.text import PROFILES
 
 COMPACT = (",", ":")
 
@@ -25,6 +26,8 @@ class IndexConfig:
     filterable_fields: tuple[str, ...] = ()
 
     def __post_init__(self):
+        if self.tokenizer_id not in PROFILES:
+            raise ValueError(f"no tokenizer {self.tokenizer_id!r}; there are {PROFILES}")
         if not 0 <= self.chunk_overlap_chars < self.chunk_max_chars:
             raise ValueError("the overlap has to be smaller than a chunk")
         if self.vectors and not (1 <= self.dimensions <= 65536 and self.metric in METRICS and self.model_id):
@@ -65,6 +68,8 @@ class SearchRequest:
     max_passages_per_document: int = 3
     max_context_bytes: int = 16384
     stats_scope: str = "visible"
+    cursor: str | None = None
+    exact: bool = False  # leave the inverted file of vectors aside
     extra: dict = field(default_factory=dict)
 
     def check(self, config: IndexConfig) -> "SearchRequest":

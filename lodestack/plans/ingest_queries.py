@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,15 +53,21 @@ def ingest_summary(s, d):
 
 @query("build_upsert_only", f"SELECT CAST(count(*) AS BIGINT) AS n FROM ({_PARSED}) WHERE error IS NULL AND op = 'upsert'")
 def build_upsert_only(s, d):
-    lines = _lines(s, d).where((F.col("event_id") % 10).isin(0, 1, 2, 4, 6))
-    return ingest.upserts_only(ingest.parse_ops(lines)).agg(F.count("*").alias("n"))
+    parsed = ingest.parse_ops(_lines(s, d))
+    return ingest.upserts_only(parsed.where("error is null and op = 'upsert'")).agg(F.count("*").alias("n"))
 
 
-@query("ingest_batch_explode", "SELECT event_id // 50 AS batch, CAST(row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) - 1 AS BIGINT) AS pos, CAST(user_id AS VARCHAR) AS id FROM events WHERE event_id % 10 = 8")
+@query(
+    "ingest_batch_explode",
+    f"SELECT event_id // 50 AS batch, CAST(row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) - 1 AS BIGINT) AS pos, id, error FROM ({_PARSED}) WHERE error IS DISTINCT FROM 'invalid_json' "
+    "UNION ALL SELECT DISTINCT -1 - event_id // 50, -1, CAST(NULL AS VARCHAR), 'invalid_json' FROM events WHERE event_id % 10 = 7",
+)
 def ingest_batch_explode(s, d):
-    ops = _lines(s, d).where(F.col("event_id") % 10 == 8).groupBy(F.expr("event_id div 50").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("o"))
+    """All lines in batches of up to 50; the cut lines have batches of their own, which are refused whole."""
+    batch = F.expr("event_id div 50")
+    ops = _lines(s, d).withColumn("batch", F.when(F.col("event_id") % 10 == 7, -1 - batch).otherwise(batch)).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("o"))  # 50 at most
     whole = ops.select("batch", F.concat(F.lit('{"operations":['), F.array_join(F.transform("o", lambda x: x["value"]), ","), F.lit("]}")).alias("value"))
-    return ingest.parse_ops(ingest.parse_batch(whole)).select("batch", F.col("pos").cast("long").alias("pos"), "id")
+    return ingest.parse_ops(ingest.parse_batch(whole)).select("batch", F.col("pos").cast("long").alias("pos"), "id", "error")
 
 
 @query("ingest_tsv_parse", "SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'delete' ELSE 'upsert' END AS op, CAST(doc_id AS VARCHAR) AS id, sha256(replace(text, chr(9), ' ')) AS body_hash, CASE WHEN doc_id % 7 = 2 THEN 'body_length' WHEN doc_id % 7 = 3 THEN 'invalid_operation' END AS error FROM documents")
@@ -77,12 +81,12 @@ def ingest_tsv_parse(s, d):
     return t.select("doc_id", op.alias("op"), "id", F.sha2("body", 256).alias("body_hash"), "error")
 
 
-@query("canonical_json")
+@query("canonical_json", "SELECT event_id, '{\"a\":{\"b\":' || CAST(json(props) AS VARCHAR) || ',\"y\":2},\"z\":1}' AS json FROM events")
 def canonical_json(s, d):
     return read(s, d, "events").select("event_id", ingest.canonical_json(F.concat(F.lit('{"z": 1, "a": {"y": 2, "b": '), F.col("props"), F.lit("}}"))).alias("json"))
 
 
-@query("json_dup_keys")
+@query("json_dup_keys", "SELECT event_id, event_id % 3 = 0 AS rejected FROM events")
 def json_dup_keys(s, d):
     twice = F.when(F.col("event_id") % 3 == 0, F.lit('{"a": {"k": 1, "k": 2}}')).otherwise(F.col("props"))
     return read(s, d, "events").select("event_id", F.try_parse_json(twice).isNull().alias("rejected"))
@@ -177,7 +181,16 @@ def base_delta_plan(s, d):
     return versions.base_delta(a.where("segment_id >= 2"), base)
 
 
-@query("segment_plan_greedy")
+_PLAN = (
+    f"WITH RECURSIVE {_SEG}, s AS (SELECT row_number() OVER (ORDER BY ordinal) - 1 AS i, bytes FROM sg), "
+    "g AS (SELECT i, i AS start, bytes AS used FROM s WHERE i = 0 UNION ALL SELECT s.i, CASE WHEN used + bytes > 8000000 THEN s.i ELSE start END, CASE WHEN used + bytes > 8000000 THEN bytes ELSE used + bytes END FROM g JOIN s ON s.i = g.i + 1), "
+    "p AS (SELECT start, max(i) + 1 AS stop, max(used) AS bytes, row_number() OVER (ORDER BY start DESC) AS r FROM g GROUP BY start), "
+    "m AS (SELECT count(*) > 1 AND max(CASE WHEN r = 1 THEN bytes END) < 4000000 AND sum(CASE WHEN r <= 2 THEN bytes END) <= 12000000 AS tail FROM p) "
+    "SELECT start, CASE WHEN tail AND r = 2 THEN (SELECT max(stop) FROM p) ELSE stop END AS \"end\" FROM p, m WHERE NOT (tail AND r = 1)"
+)
+
+
+@query("segment_plan_greedy", _PLAN)
 def segment_plan_greedy(s, d):
     rows = _segments(s, d).orderBy("ordinal").select("bytes").collect()  # a manifest's sizes
     cuts = versions.plan_segments([r["bytes"] for r in rows], 8_000_000, 16_000_000, 4_000_000, 12_000_000)
@@ -186,26 +199,28 @@ def segment_plan_greedy(s, d):
 
 @query("microbatch_groups")
 def microbatch_groups(s, d):
-    r = log(s, d).where("generation < 20").groupBy(F.expr("seq div 10").alias("request")).agg(F.collect_set("id").alias("ids"))
-    groups = versions.microbatch_groups(r, 200)
-    return s.createDataFrame([(g, q) for g, qs in enumerate(groups) for q in qs], "batch long, request long")
+    """All requests of the log, ten events each, grouped within triggers of a hundred requests."""
+    r = log(s, d).groupBy(F.expr("seq div 1000").alias("trigger"), F.expr("seq div 10").alias("request")).agg(F.collect_list("id").alias("ids"))
+    return versions.microbatches(r, 200)
 
 
-@query("stream_ingest")
+@query("stream_ingest", f"SELECT id, title, 'b ' || event_id AS body FROM (SELECT * FROM ({_PARSED}) WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id DESC) = 1) WHERE op = 'upsert'")
 def stream_ingest(s, d):
-    """The first generations of the change log as a stream of files into an index on the driver's disk; its visible documents."""
+    """The whole change log as a stream of files, two a trigger, into an index; its visible documents. Broken lines go to a table of failures."""
     from lodestack.plans.config import IndexConfig
     from lodestack.plans.index import Index
-    from lodestack.storage import shared_dir
+    from lodestack.storage import new_folder
     from lodestack.streaming.ingest import stream_ingest as start
 
-    base = tempfile.mkdtemp(prefix="stream-", dir=shared_dir(s).removeprefix("file://"))
-    for k in range(2):
-        _lines(s, d).where(F.expr("event_id div 100") == k).select("value").coalesce(1).write.mode("append").text(f"{base}/in")
+    base, lines = new_folder(s, "stream"), _lines(s, d)
+    last = lines.agg(F.max("event_id")).first()[0]
+    for k in range(4):  # files in the order of the log
+        part = lines.where((F.col("event_id") * 4).between(k * (last + 1), (k + 1) * (last + 1) - 1)) if last is not None else lines
+        part.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select("value").write.mode("append").text(f"{base}/in")
     index = Index.create(s, f"{base}/index", IndexConfig())
-    stream = s.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{base}/in")
-    start(stream, index, f"{base}/checkpoint").awaitTermination()
-    return index.documents().select("id", "title", "body", "generation")
+    stream = s.readStream.schema("value string").option("maxFilesPerTrigger", 2).text(f"{base}/in")
+    start(stream, index, f"{base}/checkpoint", failures=f"{base}/failures").awaitTermination()
+    return index.documents().select("id", "title", "body")
 
 
 # -- sources
@@ -255,7 +270,7 @@ def extract_dispatch(s, d):
     return EX.extract(p.select(F.concat(F.col("page_id").cast("string"), suffix).alias("path"), F.col("html").alias("content")))
 
 
-@query("source_glob_filter")
+@query("source_glob_filter", "SELECT page_id, url AS path FROM pages WHERE (url GLOB '*.html' OR url GLOB '*/fr/*') AND NOT url GLOB '*blog*'")
 def source_glob_filter(s, d):
     return EX.select_paths(read(s, d, "pages").select("page_id", F.col("url").alias("path")), ["*.html", "*/fr/*"], ["*blog*"]).select("page_id", "path")
 
@@ -265,7 +280,13 @@ def source_snapshot_hash(s, d):
     return EX.snapshot_hash(read(s, d, "pages").select(F.col("url").alias("path"), F.sha2("html", 256).alias("digest"), F.col("page_id").alias("mtime")))
 
 
-@query("truncate_utf8")
+@query("utf8_valid", "SELECT doc_id, len(list_filter(range(0, 100), lambda n: octet_length(encode(left(text, n))) = least(99, octet_length(encode(text))))) > 0 AS valid FROM documents")
+def utf8_valid(s, d):
+    """Whether a text's first 99 bytes end with a whole character."""
+    return read(s, d, "documents").select("doc_id", TX.valid_utf8(F.substring(F.encode("text", "UTF-8"), 1, 99)).alias("valid"))
+
+
+@query("truncate_utf8", "SELECT doc_id, left(text, list_max(list_filter(range(0, 100), lambda n: octet_length(encode(left(text, n))) <= 99))) AS head FROM documents")
 def truncate_utf8(s, d):
     return read(s, d, "documents").select("doc_id", TX.truncate_utf8(99)("text").alias("head"))
 
@@ -278,19 +299,19 @@ def split_body(s, d):
 # -- prompts and answers
 
 
-@query("embedding_prompt", f"WITH {DOCS} SELECT doc_id, 'title: ' || coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE title END), ''), 'none') || ' | text: ' || left(body, 100) AS prompt FROM docs")
+@query("embedding_prompt", f"WITH {DOCS} SELECT doc_id, 'title: ' || coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE title END), ''), 'none') || ' | text: ' || body AS prompt FROM docs")
 def embedding_prompt(s, d):
     title = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("title"))
-    return corpus(s, d).select("doc_id", EX.embedding_prompt(title, F.substring("body", 1, 100)).alias("prompt"))
+    return corpus(s, d).select("doc_id", EX.embedding_prompt(title, F.col("body")).alias("prompt"))
 
 
-_TURNS = "c AS (SELECT conv_id, turn, left(coalesce(text, ''), 40) || ' [' || (turn % 4) || '] and [' || (conv_id % 3) || ']' AS answer, conv_id % 4 AS sources FROM conversations WHERE role = 'assistant')"
+_TURNS = "c AS (SELECT conv_id, turn, coalesce(text, '') || ' [' || (turn % 4) || '] and [' || (conv_id % 3) || ']' AS answer, conv_id % 4 AS sources FROM conversations WHERE role = 'assistant')"
 _CITED = "c2 AS (SELECT *, list_distinct([try_cast(x AS INTEGER) for x in regexp_extract_all(answer, '\\[(\\d+)\\]', 1)]) AS cited FROM c)"
 _VALID = "len(cited) > 0 AND len(list_filter(cited, lambda x: x BETWEEN 1 AND sources)) = len(cited)"
 
 
 def _answers(s, d):
-    a = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 40), F.lit(" ["), (F.col("turn") % 4).cast("string"), F.lit("] and ["), (F.col("conv_id") % 3).cast("string"), F.lit("]"))
+    a = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), (F.col("turn") % 4).cast("string"), F.lit("] and ["), (F.col("conv_id") % 3).cast("string"), F.lit("]"))
     return read(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", a.alias("answer"), (F.col("conv_id") % 4).alias("sources"))
 
 
@@ -305,8 +326,9 @@ def rag_status(s, d):
     return a.select("conv_id", "turn", fusion.rag_status(F.col("sources"), F.col("answer")).alias("status"))
 
 
-@query("rag_prompt", f"WITH {DOCS}, t AS (SELECT source, list('[' || n || '] ' || title || chr(10) || 'URL: u/' || doc_id || chr(10) || left(body, 80) ORDER BY n) AS x FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM docs) WHERE n <= 3 GROUP BY source) SELECT source, array_to_string(x, chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: why?' AS prompt FROM t")
+#: The prompt of each source's first three documents, whole.
+@query("rag_prompt", f"WITH {DOCS}, t AS (SELECT source, list('[' || n || '] ' || title || chr(10) || 'URL: u/' || doc_id || chr(10) || body ORDER BY n) AS x FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM docs) WHERE n <= 3 GROUP BY source) SELECT source, array_to_string(x, chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: why?' AS prompt FROM t")
 def rag_prompt(s, d):
     c = corpus(s, d).withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("n <= 3")
-    hit = F.struct("n", "title", F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"), F.substring("body", 1, 80).alias("text"))
+    hit = F.struct("n", "title", F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"), F.col("body").alias("text"))
     return c.groupBy("source").agg(F.array_sort(F.collect_list(hit)).alias("h")).select("source", fusion.rag_prompt(F.col("h"), "why?").alias("prompt"))

@@ -8,20 +8,20 @@ from lodestack.functions import text as TX
 from lodestack.functions.filters import compile_filter, entries, metadata_map
 from lodestack.functions.scoring import bm25
 from lodestack.operators import fusion, lexical
-from lodestack.plans.tables import DOCS, FIELDS, META, OCC, PASS, POST, STATS, TK, WORDS, bm25f_sql, corpus, passages, query, read, with_metadata
+from lodestack.plans.tables import DOCS, FIELDS, META, OCC, PASS, POST, STATS, TK, WORDS, bm25f_sql, corpus, query, read, stored_index, with_metadata
 
 AREA = ["title", "body"]
 Q = ["the", "and", "token"]
 
 
-@query("normalize_lower", f"WITH {DOCS} SELECT doc_id, lower(title) AS norm FROM docs")
+@query("normalize_lower", "SELECT doc_id, lower(text) AS norm FROM documents")
 def normalize_lower(s, d):
-    return corpus(s, d).select("doc_id", F.lower("title").alias("norm"))
+    return corpus(s, d).select("doc_id", F.lower("body").alias("norm"))
 
 
 @query("normalize_nfkc")
 def normalize_nfkc(s, d):
-    return corpus(s, d).select("doc_id", TX.normalize_nfkc("title").alias("norm"))
+    return corpus(s, d).select("doc_id", TX.normalize_nfkc("body").alias("norm"))
 
 
 @query("tokenize_counts", f"WITH {TK} SELECT doc_id, CAST(len(tb) AS BIGINT) AS n_tokens, CAST(len(list_distinct(tb)) AS BIGINT) AS n_distinct FROM tk")
@@ -37,7 +37,7 @@ def corpus_stats(s, d):
 
 @query("term_document_frequency", f"WITH {POST} SELECT term, CAST(count(*) AS BIGINT) AS df FROM post GROUP BY term")
 def term_document_frequency(s, d):
-    return lexical.document_frequency(lexical.occurrences(corpus(s, d), AREA, "doc_id").select("term", "doc_id").distinct())
+    return lexical.document_frequency(stored_index(s, d).postings())
 
 
 @query("query_plan_terms", "SELECT term, CAST(qpos AS BIGINT) AS qpos FROM (VALUES ('quick', 0), ('quick', 1), ('brown', 2)) t(term, qpos)")
@@ -62,11 +62,11 @@ def posting_blocks(s, d):
 
 @query("bm25_single_field", f"WITH {POST}, {STATS}, p AS (SELECT * FROM post WHERE term = 'the' AND tf_body > 0) SELECT doc_id, round(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf_body * 2.2e0 / (tf_body + 1.2e0 * (0.25e0 + 0.75e0 * len_body / (tokens_body::DOUBLE / n))), 6) AS score FROM p, st, (SELECT count(*) AS df FROM p) x")
 def bm25_single_field(s, d):
-    c = corpus(s, d)
-    p = lexical.postings(lexical.occurrences(c, ["body"], "doc_id", ["the"]), ["body"], "doc_id")
-    p = p.crossJoin(F.broadcast(lexical.corpus_stats(c, ["body"]))).crossJoin(F.broadcast(p.agg(F.count("*").alias("df"))))  # one row each
-    n = F.col("n").cast("double")
-    return p.select("doc_id", F.round(bm25(F.col("tf_body").cast("double"), F.col("df").cast("double"), n, F.col("len_body"), F.col("tokens_body") / n), 6).alias("score"))
+    index = stored_index(s, d)
+    p = index.postings(["the"]).where("tf_body > 0")
+    p = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("df"))))  # one row
+    n = float(index.stats["n"])
+    return p.select("doc_id", F.round(bm25(F.col("tf_body").cast("double"), F.col("df").cast("double"), F.lit(n), F.col("len_body"), F.lit(index.stats["tokens_body"] / n if n else 0.0)), 6).alias("score"))
 
 
 def _top(hits, k=10):
@@ -75,37 +75,38 @@ def _top(hits, k=10):
 
 @query("bm25f_or", f"WITH {bm25f_sql(Q)} SELECT doc_id, score, CAST(matched AS BIGINT) AS matched FROM hits ORDER BY score DESC, doc_id LIMIT 10")
 def bm25f_or(s, d):
-    return _top(lexical.score(corpus(s, d), Q, AREA, "doc_id"))
+    return _top(stored_index(s, d).score(Q))
 
 
 @query("bm25f_and", f"WITH {bm25f_sql(Q, minimum=3)} SELECT doc_id, score, CAST(matched AS BIGINT) AS matched FROM hits ORDER BY score DESC, doc_id LIMIT 10")
 def bm25f_and(s, d):
-    return _top(lexical.score(corpus(s, d), Q, AREA, "doc_id", operator="and"))
+    return _top(stored_index(s, d).score(Q, "and"))
 
 
 @query("or_minus_and", f"WITH {bm25f_sql(Q)} SELECT doc_id FROM hits EXCEPT SELECT doc_id FROM hits WHERE matched = 3")
 def or_minus_and(s, d):
-    c = corpus(s, d)
-    return lexical.score(c, Q, AREA, "doc_id").select("doc_id").subtract(lexical.score(c, Q, AREA, "doc_id", operator="and").select("doc_id"))
+    index = stored_index(s, d)
+    return index.score(Q).select("doc_id").subtract(index.score(Q, "and").select("doc_id"))
 
 
 @query("phrase_match", f"WITH {OCC}, q AS (SELECT * FROM (VALUES ('of', 0), ('the', 1)) t(term, qpos)) SELECT DISTINCT doc_id FROM (SELECT doc_id, field, pos - qpos AS st, count(DISTINCT qpos) AS k FROM occ JOIN q USING (term) GROUP BY ALL) WHERE k = 2")
 def phrase_match(s, d):
-    return lexical.phrase_objects(corpus(s, d), ["of", "the"], AREA, "doc_id")
+    return stored_index(s, d).phrase(["of", "the"])
 
 
 @query("topk_tiebreak", f"WITH {bm25f_sql(['license', 'licensed', 'version'])} SELECT doc_id, score FROM hits ORDER BY score DESC, doc_id LIMIT 25")
 def topk_tiebreak(s, d):
-    return lexical.top(lexical.score(corpus(s, d), ["license", "licensed", "version"], AREA, "doc_id"), 25, "doc_id").select("doc_id", "score")
+    return lexical.top(stored_index(s, d).score(["license", "licensed", "version"]), 25, "doc_id").select("doc_id", "score")
 
 
 @query("bm25f_filtered", f"WITH {bm25f_sql(Q, where=chr(108) + 'ang = ' + chr(39) + 'en' + chr(39) + ' AND n_chars >= 500')} SELECT doc_id, score, CAST(matched AS BIGINT) AS matched FROM hits ORDER BY score DESC, doc_id LIMIT 10")
 def bm25f_filtered(s, d):
-    return _top(lexical.score(corpus(s, d), Q, AREA, "doc_id", where=(F.col("lang") == "en") & (F.col("n_chars") >= 500), stats_over=corpus(s, d)))
+    allowed = corpus(s, d).where((F.col("lang") == "en") & (F.col("n_chars") >= 500)).select("doc_id")
+    return _top(stored_index(s, d).score(Q, where=lambda rows: rows.join(allowed, "doc_id", "left_semi")))
 
 
 _BATCH = (
-    f"WITH {POST}, {STATS}, qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(left(text, 120)), '{WORDS}')) AS term FROM benchmark), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), "
+    f"WITH {POST}, {STATS}, qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS term FROM benchmark), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), "
     "w AS (SELECT query_id, doc_id, df, n, (CASE WHEN tf_title > 0 THEN 2e0 * tf_title / (0.25e0 + 0.75e0 * len_title / (tokens_title::DOUBLE / n)) ELSE 0e0 END + CASE WHEN tf_body > 0 THEN 1e0 * tf_body / (0.25e0 + 0.75e0 * len_body / (tokens_body::DOUBLE / n)) ELSE 0e0 END) AS w FROM post JOIN qt USING (term) JOIN dfs USING (term), st) "
     "SELECT query_id, doc_id, round(sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * w * 2.2e0 / (1.2e0 + w)), 6) AS score FROM w GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"
 )
@@ -113,9 +114,9 @@ _BATCH = (
 
 @query("batch_bm25f", _BATCH)
 def batch_bm25f(s, d):
-    """Every benchmark passage's first 120 code points as a query."""
-    q = read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 120).alias("query"))
-    return lexical.score_many(corpus(s, d), q, AREA, 10, "doc_id").select("query_id", "doc_id", "score")
+    """Every benchmark passage, whole, as a query."""
+    q = read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return stored_index(s, d).score_many(q, 10).select("query_id", "doc_id", "score")
 
 
 _PASSAGE_SQL = (
@@ -127,20 +128,19 @@ _PASSAGE_SQL = (
 
 @query("scope_passages_lexical", _PASSAGE_SQL + "SELECT passage_id, round(sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * w * 2.2e0 / (1.2e0 + w)), 6) AS score FROM w GROUP BY passage_id ORDER BY score DESC, passage_id LIMIT 20")
 def scope_passages_lexical(s, d):
-    p = passages(s, d).select("passage_id", F.col("text").alias("passage"))
-    return lexical.top(lexical.score(p, ["stupid", "the"], ["passage"], "passage_id"), 20, "passage_id").select("passage_id", "score")
+    return lexical.top(stored_index(s, d, "passages").score(["stupid", "the"]), 20, "passage_id").select("passage_id", "score")
 
 
 @query("search_results_projection", f"WITH {bm25f_sql(Q)}, t AS (SELECT * FROM hits ORDER BY score DESC, doc_id LIMIT 10) SELECT t.doc_id, score, title, left(body, 180) AS snippet FROM t JOIN docs USING (doc_id)")
 def search_results_projection(s, d):
-    hits = _top(lexical.score(corpus(s, d), Q, AREA, "doc_id")).select("doc_id", "score")
+    hits = _top(stored_index(s, d).score(Q)).select("doc_id", "score")
     rows = corpus(s, d).join(F.broadcast(hits), "doc_id")  # ten rows
     return rows.select("doc_id", "score", "title", TX.snippet_window(F.col("body"), []).alias("snippet"))
 
 
 @query("search_page_2", f"WITH {bm25f_sql(Q)} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS position, (SELECT count(*) FROM hits) > 20 AS has_more FROM hits ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10")
 def search_page_2(s, d):
-    p = fusion.page(lexical.score(corpus(s, d), Q, AREA, "doc_id"), 10, 10, [F.desc("score"), F.asc("doc_id")])
+    p = fusion.page(stored_index(s, d).score(Q), 10, 10, [F.desc("score"), F.asc("doc_id")])
     return p.select("doc_id", "score", F.col("position").cast("long").alias("position"), "has_more")
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.storage import ship
+from lodestack.operators import lexical
+from lodestack.storage import Files, new_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,15 +32,42 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
-#: Files of less than this may be one row group, which one task would read and tokenise alone.
-SMALL = 256 << 20
-TINY = 1 << 20
-
-
 def spread(table: DataFrame) -> DataFrame:
-    """table over all cores if its files are small in all; larger tables have row groups enough and aren't shuffled."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if TINY < size < SMALL else table
+    """table over all cores if it has fewer row groups than there are cores, since a row group is read by one task; tables of more are read as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if row_groups(table, cores) < cores else table
+
+
+def row_groups(table: DataFrame, most: int) -> int:
+    """Row groups of a Parquet table's files, from their footers, as far as ``most``."""
+    spark, n = table.sparkSession, 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in table.inputFiles()[:most]:
+        file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+        try:
+            n += reader.getRowGroups().size()
+        finally:
+            reader.close()
+        if n >= most:
+            break
+    return n
+
+
+_INDEXES: dict[tuple[str, str, str], tuple[str, lexical.LexicalIndex]] = {}
+
+
+def stored_index(spark: SparkSession, d: str, scope: str = "documents") -> lexical.LexicalIndex:
+    """The lexical index of documents (title and body) or of their passages: built on first use, stored in the shared folder, and used by all queries."""
+    key = (spark.sparkContext.applicationId, d, scope)
+    if key not in _INDEXES or not Files(spark).exists(f"{_INDEXES[key][0]}/index.json"):
+        folder = new_folder(spark, f"lexical-{scope}")
+        if scope == "documents":
+            built = lexical.build_index(corpus(spark, d), ["title", "body"], folder, "doc_id")
+        else:
+            built = lexical.build_index(passages(spark, d).select("passage_id", "doc_id", F.col("text").alias("passage")), ["passage"], folder, "passage_id", ("doc_id",))
+        _INDEXES[key] = folder, built
+    return _INDEXES[key][1]
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions.scoring import valid_vector
 from lodestack.functions.text import query_tokens, sentence_passages
-from lodestack.operators import fusion, lexical, quality, vector
-from lodestack.plans.lexical_queries import AREA, Q, _PASSAGE_SQL
-from lodestack.plans.tables import PASS, bm25f_sql, corpus, passages, query, read
+from lodestack.operators import ann, fusion, lexical, quality, vector
+from lodestack.plans.lexical_queries import Q, _PASSAGE_SQL
+from lodestack.plans.tables import PASS, bm25f_sql, corpus, passages, query, read, stored_index
 from lodestack.sources.ingest import attach_embeddings, embedding_problems, segment_violations
 
 _QV = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
@@ -67,21 +66,33 @@ def embedding_missing_ids(s, d):
     return embedding_problems(read(s, d, "documents"), read(s, d, "embeddings"), 64, "doc_id", "vec_id")
 
 
-def _first_queries(s, d, n):
-    rows = read(s, d, "embeddings").where(F.col("vec_id") < n).orderBy("vec_id").limit(n).collect()  # n query vectors
-    return np.array([r["embedding"] for r in rows])
+def _asked(s, d):
+    """Every vector whose id is divisible by 50, as a query."""
+    return read(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
 
 
 @query("ann_lsh_topk")
 def ann_lsh_topk(s, d):
-    return vector.lsh_nearest(read(s, d, "embeddings"), _first_queries(s, d, 20), "cosine", 10).select("q", "vec_id", "score", "rank")
+    """The ten approximate neighbours of every query, by the inverted file with production parameters."""
+    v = read(s, d, "embeddings")
+    return ann.ann_search(ann.fit(v, "cosine"), v, _asked(s, d), 10).select("q", "vec_id", "score", "rank")
+
+
+_NEAR = (
+    "WITH n AS (SELECT a.vec_id AS q, b.vec_id, round(" + _SCORE["cosine"].replace("list_zip(q, embedding)", "list_zip(a.embedding, b.embedding)").replace(_SELF.format("q"), _SELF.format("a.embedding")).replace(_SELF.format("embedding"), _SELF.format("b.embedding"))
+    + ", 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS BIGINT) AS rank FROM n QUALIFY rank <= 10"
+)
+
+
+@query("vector_topk_many", _NEAR)
+def vector_topk_many(s, d):
+    """The ten exact neighbours of every query, in blocks."""
+    return ann.exact_search(read(s, d, "embeddings"), _asked(s, d), "cosine", 10).select("q", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ann_recall")
 def ann_recall(s, d):
-    v, q = read(s, d, "embeddings"), _first_queries(s, d, 20)
-    exact = vector.nearest_many(v, q, "cosine", 10).select("q", "vec_id")
-    found = vector.lsh_nearest(v, q, "cosine", 10).select("q", "vec_id", F.lit(1).alias("hit"))
+    exact, found = vector_topk_many(s, d).select("q", "vec_id"), ann_lsh_topk(s, d).select("q", "vec_id", F.lit(1).alias("hit"))
     return exact.join(found, ["q", "vec_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
@@ -90,7 +101,8 @@ def ann_recall(s, d):
 
 def _lists(s, d, where=None):
     c = corpus(s, d)
-    lex = lexical.top(lexical.score(c, Q, AREA, "doc_id", where=where, stats_over=None if where is None else corpus(s, d)), 100, "doc_id").select("doc_id", "score")
+    allowed = (lambda rows: rows) if where is None else (lambda rows: rows.join(c.where(where).select("doc_id"), "doc_id", "left_semi"))
+    lex = lexical.top(stored_index(s, d).score(Q, where=allowed), 100, "doc_id").select("doc_id", "score")
     e = read(s, d, "embeddings").withColumn("doc_id", F.col("vec_id") % 100)
     if where is not None:
         e = e.join(c.where(where).select("doc_id"), "doc_id", "left_semi")
@@ -163,9 +175,8 @@ def passage_lookup(s, d):
 
 
 def _ranked_passages(s, d, k=60):
-    p = passages(s, d)
-    hits = lexical.top(lexical.score(p.select("passage_id", F.col("text").alias("passage")), query_tokens("stupid the"), ["passage"], "passage_id"), k, "passage_id").select("passage_id", "score")
-    rows = p.join(F.broadcast(hits), "passage_id")  # k rows
+    hits = lexical.top(stored_index(s, d, "passages").score(query_tokens("stupid the")), k, "passage_id").select("passage_id", "score")
+    rows = passages(s, d).join(F.broadcast(hits), "passage_id")  # k rows
     return rows.select("passage_id", F.col("doc_id").alias("document_id"), "score", "text", F.row_number().over(W.orderBy(F.desc("score"), "passage_id")).alias("rank"))
 
 

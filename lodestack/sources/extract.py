@@ -6,7 +6,6 @@ import codecs
 import fnmatch
 import json
 import re
-import unicodedata
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -122,12 +121,12 @@ def directory(spark: SparkSession, folder: str, include: list[str] | None = None
 def select_paths(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, path: str = "path") -> DataFrame:
     """Files whose NFC path fits any included glob (all, if none are named) and no excluded one."""
 
-    def fits(paths: pd.Series) -> pd.Series:
-        def one(p: str) -> bool:
-            p = unicodedata.normalize("NFC", p)
-            return (not include or any(fnmatch.fnmatchcase(p, g) for g in include)) and not any(fnmatch.fnmatchcase(p, g) for g in exclude or [])
+    wanted, unwanted = ("|".join(map(fnmatch.translate, g or [])) for g in (include, exclude))
 
-        return paths.map(one)
+    def fits(paths: pd.Series) -> pd.Series:
+        p = paths.fillna("").str.normalize("NFC")
+        inside = p.str.match(wanted) if wanted else pd.Series(True, index=p.index)
+        return inside & ~p.str.match(unwanted) if unwanted else inside
 
     return files.where(F.pandas_udf(fits, "boolean")(F.col(path)))
 

@@ -66,13 +66,25 @@ def parse_ops(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def parse_batch(batches: DataFrame, column: str = "value") -> DataFrame:
-    """One row (batch columns, pos, value) per operation of {"operations": [...]}; a batch of another shape or size gives none."""
+    """One row (batch columns, pos, value) per operation of {"operations": [...]}; a batch of another shape or size is one row with pos -1 and no
+    value, which parse_ops() finds invalid."""
     v = F.try_parse_json(F.col(column))
     ops = F.try_variant_get(v, "$.operations", "array<variant>")
     ok = (F.size(F.json_object_keys(F.to_json(v))) == 1) & F.size(ops).between(1, MAX_BATCH)
-    rows = batches.where(F.coalesce(ok, F.lit(False)))
     others = [c for c in batches.columns if c != column]
-    return rows.select(*others, F.posexplode(ops).alias("pos", "_o")).select(*others, "pos", F.to_json("_o").alias(column))
+    told = batches.select(*others, F.when(F.coalesce(ok, F.lit(False)), ops).alias("_ops"))
+    return told.select(*others, F.posexplode_outer("_ops").alias("pos", "_o")).select(*others, F.coalesce("pos", F.lit(-1)).alias("pos"), F.to_json("_o").alias(column))
+
+
+def split_lines(buffers: DataFrame, column: str = "value") -> DataFrame:
+    """One row (buffer columns, line from 1, value, error) per line of a buffer of NDJSON: a carriage return before the line feed is left out, an empty line is an
+    error, and so is all of a buffer of more than ``MAX_BATCH`` lines, as one row with line 0."""
+    others = [c for c in buffers.columns if c != column]
+    lines = F.split(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "\r\n", "\n"), "\n$", ""), "\n", -1)
+    many = F.size("_l") > MAX_BATCH
+    d = buffers.select(*others, lines.alias("_l")).select(*others, many.alias("_many"), F.posexplode(F.when(many, F.array(F.lit(""))).otherwise(F.col("_l"))).alias("_p", column))
+    error = F.when(F.col("_many"), "too_many_lines").when(F.col(column) == "", "empty_line")
+    return d.select(*others, F.when(F.col("_many"), 0).otherwise(F.col("_p") + 1).alias("line"), column, error.alias("error"))
 
 
 def parse_tsv(lines: DataFrame, column: str = "value") -> DataFrame:

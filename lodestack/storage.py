@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -37,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (single-machine tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where it is unset and all runs in one process, else a RuntimeError."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -54,10 +58,97 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+class Files:
+    """Small files and folders on any file system that Spark can reach, from the driver."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def names(self, folder: str) -> list[str]:
+        """What lies in a folder; nothing if there is none."""
+        fs, p = self._at(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def size(self, path: str) -> int:
+        fs, p = self._at(path)
+        return fs.getContentSummary(p).getLength()
+
+    def age(self, path: str) -> float:
+        """Seconds since the path was last changed."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
+    def mkdirs(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
+    def read(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Replace a file; readers see the old text or the new one."""
+        fs, temp = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(temp, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._context(path).rename(temp, self.jvm.org.apache.hadoop.fs.Path(path), self._option("OVERWRITE"))
+
+    def write_new(self, path: str, text: str) -> bool:
+        """Make a file with this text at once, or nothing and False if the path exists."""
+        fs, temp = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
+        local = fs.getUri().getScheme() == "file"
+        out = fs.create(temp, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if local:  # where renaming replaces, linking doesn't
+                os.link(temp.toUri().getPath(), self.jvm.org.apache.hadoop.fs.Path(path).toUri().getPath())
+            else:
+                self._context(path).rename(temp, self.jvm.org.apache.hadoop.fs.Path(path), self._option("NONE"))
+            return True
+        except FileExistsError:
+            return False
+        except Exception as e:  # noqa: BLE001
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            fs.delete(temp, False)
+
+    def _context(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(path)[0].getUri(), self.conf)
+
+    def _option(self, name: str):
+        rename = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = self.jvm.java.lang.reflect.Array.newInstance(rename, 1)
+        self.jvm.java.lang.reflect.Array.set(options, 0, getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, name))
+        return options
+
+    def rename(self, path: str, to: str) -> None:
+        fs, p = self._at(path)
+        if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(to)):
+            raise OSError(f"{path} can't be renamed to {to}")
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    Files(spark).delete(path)
 
 
 def cleanup() -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.filters import compile_filter, metadata_map
 from lodestack.functions.scoring import bm25, vector_score
-from lodestack.operators import fusion, lexical, quality, vector
+from lodestack.operators import ann, fusion, lexical, quality, vector
 
 
 @pytest.fixture(scope="module")
@@ -57,17 +57,59 @@ def test_vector_scores(spark):
         vector_score("none", F.col("q"), F.col("embedding"))
 
 
-def test_lsh_recall_and_batched_exact_search(spark):
+def test_batched_exact_search_and_recall_of_a_fitted_model(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((512, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
-    q = x[::13][:40]
-    exact = {(r.q, r.vec_id) for r in vector.nearest_many(df, q, "cosine", 10).collect()}
-    want = {(i, int(j)) for i, v in enumerate(q) for j in np.argsort(-(x @ v), kind="stable")[:10]}
-    assert len(exact & want) >= 0.995 * len(want)  # float32 storage may swap near ties
-    found = {(r.q, r.vec_id) for r in vector.lsh_nearest(df, q, "cosine", 10, bits=3, tables=24).collect()}
-    assert len(found & exact) / len(exact) >= 0.95
+    q = df.where("vec_id % 13 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    for metric, order in (("cosine", x @ x.T), ("dot", x @ x.T), ("l2", -((x[:, None] - x[None]) ** 2).sum(2))):
+        exact = {(r.q, r.vec_id) for r in ann.exact_search(df, q, metric, 10).collect()}
+        want = {(i, int(j)) for i in range(0, 512, 13) for j in np.argsort(-order[i], kind="stable")[:10]}
+        assert len(exact & want) >= 0.995 * len(want) == 0.995 * len(exact)  # float32 storage may swap near ties
+        found = {(r.q, r.vec_id) for r in ann.ann_search(ann.fit(df, metric), df, q, 10).collect()}
+        assert len(found & exact) / len(exact) >= 0.95
+
+
+def test_clustered_vectors_need_few_cells():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((64, 32)).repeat(60, axis=0) + 0.05 * rng.standard_normal((3840, 32))
+    model = ann.fit_sample(x, "cosine", 61)
+    assert model.probes <= 8 and len(model.centroids) == 61
+    again = ann.AnnModel.load(model.dump())
+    assert again.probes == model.probes and np.allclose(again.centroids, model.centroids)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_registered_query(spark, sf):
+    from lodestack.plans.catalog import QUERIES
+
+    assert QUERIES["ann_recall"](spark, f"/root/testdata/{sf}").first().recall >= 0.95
+
+
+def test_blocks_split_hot_cells(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<float>").withColumn("cell", F.lit(0))
+    q = spark.createDataFrame([(i, [float(i), 1.0], [0]) for i in range(40)], "q long, qv array<float>, cells array<int>")
+    whole = ann.block_search(df, q, "dot", 5).orderBy("q", "rank").collect()
+    assert ann.block_search(df, q, "dot", 5, block=16).orderBy("q", "rank").collect() == whole and len(whole) == 200
+    assert [r.vec_id for r in whole[:5]] == [0, 1, 2, 3, 4]  # q = (0, 1): all alike, ties by id
+
+
+def test_stored_index_reads_only_its_terms(spark, foxes, tmp_path):
+    index = lexical.build_index(foxes, AREA, str(tmp_path / "ix"))
+    for terms, op, phrase in ((["quick", "archive"], "or", None), (["quick", "brown"], "and", None), (["quick", "brown"], "or", ["quick", "brown"]), (["nothing"], "or", None), ([], "or", None)):
+        key = lambda df: sorted(map(tuple, df.select("id", "score", "matched").collect()))
+        assert key(index.score(terms, op, phrase)) == key(lexical.score(foxes, terms, AREA, operator=op, phrase=phrase))
+    plan = index.score(["quick", "fox"])._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "PushedFilters: [In(term, [fox,quick])" in physical.replace("quick,fox", "fox,quick") and "PartitionFilters" in physical
+    assert "body" not in physical.replace("tf_body", "").replace("len_body", "").replace("pos_body", "") and "pos_title" not in physical  # no text, no positions
+    many = lexical.build_index(foxes, AREA, str(tmp_path / "many"))
+    assert many.stats == {"n": 3, "tokens_title": 6, "tokens_body": 5}
+    lexical.write_postings(foxes, AREA, str(tmp_path / "b8"), 8)
+    split = lexical.LexicalIndex(spark, ((str(tmp_path / "b8"), 8),), index.schema, index.fields, index.stats)
+    assert sorted(map(tuple, split.score(["quick", "fox", "search"]).collect())) == sorted(map(tuple, index.score(["quick", "fox", "search"]).collect()))
+    assert [lexical.bucket_count(n << 20) for n in (0, 1, 64, 65, 200, 1 << 30)] == [1, 1, 1, 2, 4, 4096]
 
 
 def test_rrf_order_and_checks(spark):

@@ -1,10 +1,15 @@
 import json
+import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
+from lodestack.functions.text import fnv_passage_id
 from lodestack.plans.config import IndexConfig
 from lodestack.plans.index import Index
-from lodestack.plans.service import Admission, Overloaded, authorised, handle, request_of
+from lodestack.plans.service import Admission, Meter, Overloaded, authorised, handle, request_of
 from lodestack.sources import extract as EX
 from lodestack.sources import ingest
 
@@ -36,6 +41,52 @@ def test_handle(spark, tmp_path):
     assert handle(ix, "search", {"mode": "nope"})[0] == 400 and handle(ix, "x", {})[0] == 404 and handle(ix, "live", {})[0] == 200
 
 
+def test_all_routes_and_metrics(spark, tmp_path):
+    ix, meter = Index.create(spark, str(tmp_path / "ix"), IndexConfig()), Meter()
+    ask = lambda route, body: handle(ix, route, body, meter, Admission(1, 10_000))
+    status, done = ask("documents:batch", {"operations": [dict(operation="upsert", id=x, body=f"words of {x}") for x in "abc"]})
+    assert status == 200 and (done["generation"], done["accepted"], done["upserts"]) == (2, 3, 3)
+    assert ask("documents:batch", {"operations": []})[0] == 400 and "unknown_key" in ask("documents:batch", {"operations": [dict(operation="upsert", id="x", body="b", more=1)]})[1]["detail"]
+    first = ask("search", {"query": "words", "mode": "lexical", "limit": 2})[1]
+    second = ask("search", {"query": "words", "mode": "lexical", "limit": 2, "cursor": first["next_cursor"]})[1]
+    assert [h["id"] for h in first["hits"] + second["hits"]] == ["a", "b", "c"] and second["next_cursor"] is None
+    assert ask("search", {"query": "other", "mode": "lexical", "limit": 2, "cursor": first["next_cursor"]})[0] == 400
+    (p,) = ask("passages:prepare", {"id": "d", "body": "One sentence."})[1]["passages"]
+    assert p["text"] == "one sentence." and p["passage_id"] == fnv_passage_id("d", 0, p["text"]) and ask("passages:prepare", {"id": ""})[0] == 400
+    (c,) = ask("retrieve", {"query": "b", "mode": "lexical", "limit": 1})[1]["citations"]
+    assert c["document_id"] == "b" and c["context_end"] == len("words of b")
+    text = ask("metrics", {})[1]["text"]
+    assert 'lodestack_requests{op="search",status="2xx"} 2' in text and 'lodestack_requests{op="search",status="4xx"} 1' in text and "lodestack_segments 1" in text and 'le="+Inf"} 3' in text
+    assert handle(ix, "search", {"query": "x" * 99, "mode": "lexical"}, admission=Admission(1, 10))[0] == 503
+
+
+def test_no_path_of_the_driver_s_is_needed(tmp_path):
+    """The package alone, from another working directory, with workers that can't import it by themselves; and all queries but the optional ones."""
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "from lodestack.plans.config import IndexConfig, SearchRequest\n"
+        "from lodestack.plans.index import Index\n"
+        "from lodestack.sources.ingest import parse_ops\n"
+        "ix = Index.create(spark, 'ix', IndexConfig())\n"
+        "ix.apply(parse_ops(spark.createDataFrame([('{\"id\":\"a\",\"body\":\"some words\",\"operation\":\"upsert\"}',)], 'value string')))\n"
+        "assert [r.id for r in ix.search(SearchRequest('words', mode='lexical')).collect()] == ['a']\n"
+    )
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script, repo], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_the_optional_subpackage_may_be_gone(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(repo, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op1_') or n == 'pipeline' for n in q) and set(e.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_convert_isolates_failures(spark, tmp_path):
     files = spark.createDataFrame([("a.txt", b"x" * 25), ("b.bin", b"?"), ("c.json", b"{")], "path string, content binary")
     m = {r.kind: (r.documents, r.bytes) for r in EX.convert(files, str(tmp_path / "out"), "c", 10).collect()}
