@@ -1,4 +1,4 @@
-"""Command line: prepare, build, update, verify, search, compact.
+"""Command line: prepare, build, update, verify, search, retrieve, compact, maintain.
 
     python -m lodestack build --index DIR FILE.ndjson
     python -m lodestack search --index DIR "words to find" --mode lexical --limit 5
@@ -18,7 +18,7 @@ from lodestack.sources.ingest import parse_ops
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="lodestack")
-    p.add_argument("command", choices=["prepare", "build", "update", "verify", "search", "compact"])
+    p.add_argument("command", choices=["prepare", "build", "update", "verify", "search", "retrieve", "compact", "maintain"])
     p.add_argument("what", nargs="?", help="an NDJSON file, or the query")
     p.add_argument("--index", required=True)
     p.add_argument("--config", help="a TOML file; defaults otherwise")
@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--vector", help="a JSON array")
     p.add_argument("--filter", help="a JSON filter")
     p.add_argument("--limit", type=int, default=10)
+    p.add_argument("--cursor", help="next_cursor of the page before")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("lodestack").getOrCreate()
     config = IndexConfig.from_toml(open(a.config).read()) if a.config else IndexConfig()
@@ -49,8 +50,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(bool(broken))  # the exit status
     elif a.command == "compact":
         print(json.dumps(index.compact()))
+    elif a.command == "maintain":
+        print(json.dumps(index.maintain()))
     else:
         vector = tuple(json.loads(a.vector)) if a.vector else None
-        request = SearchRequest(a.what, vector, a.mode, a.scope, a.operator, a.phrase, json.loads(a.filter) if a.filter else None, a.limit)
-        print(json.dumps(index.response(request), ensure_ascii=False))
+        request = SearchRequest(a.what, vector, a.mode, a.scope, a.operator, a.phrase, json.loads(a.filter) if a.filter else None, a.limit, cursor=a.cursor)
+        print(json.dumps(index.response(request) if a.command == "search" else index.retrieve(request).first().asDict(recursive=True), ensure_ascii=False))
     return 0

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import codecs
 import fnmatch
+import hashlib
 import json
 import re
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,6 +134,13 @@ def select_paths(files: DataFrame, include: list[str] | None = None, exclude: li
     return files.where(F.pandas_udf(fits, "boolean")(F.col(path)))
 
 
+def select_groups(files: DataFrame, groups: list[list[str]], path: str = "path") -> DataFrame:
+    """Files whose path fits, for every group, one of its regular expressions."""
+    for patterns in groups:
+        files = files.where(reduce(lambda a, b: a | b, [F.col(path).rlike(p) for p in patterns]))
+    return files
+
+
 def snapshot_hash(files: DataFrame) -> DataFrame:
     """One digest over (path, digest, mtime) of all files, without collecting them: digests of hash buckets, then of these."""
     line = F.concat_ws("\0", "path", "digest", F.col("mtime").cast("string"))
@@ -138,11 +148,11 @@ def snapshot_hash(files: DataFrame) -> DataFrame:
     return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("snapshot"), F.sum("n").alias("files"))
 
 
-def wiki_documents(pages: DataFrame) -> DataFrame:
-    """id, url, title, body of wiki pages: blank texts skipped, the first of each id kept, only http(s) urls."""
+def wiki_documents(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, url, title, body (and the columns ``keep``) of wiki pages: blank texts skipped, the first of each id kept, only http(s) urls."""
     p = pages.where(F.trim("text") != "").withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("n"))).where("_n = 1")
     url = F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise("")
-    return p.select("id", url.alias("url"), F.trim("title").alias("title"), F.trim("text").alias("body"))
+    return p.select("id", url.alias("url"), F.trim("title").alias("title"), F.trim("text").alias("body"), *keep)
 
 
 def newline_normalize(text: Column) -> Column:
@@ -156,8 +166,56 @@ def shard_manifest(rows: DataFrame, shard: Column, text: Column) -> DataFrame:
     )
 
 
-def write_shards(rows: DataFrame, folder: str, per_file: int) -> None:
-    rows.write.option("maxRecordsPerFile", per_file).json(folder)
+def write_shards(rows: DataFrame, folder: str, per_file: int = 10_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Write rows as NDJSON shards of at most ``per_file`` lines and ``max_bytes`` bytes (or one line, if that is longer); returns the stored manifest
+    (path, documents, bytes, sha256), which alone says what belongs to the folder. Every task streams its rows, a line at a time."""
+    from urllib.parse import urlsplit
+
+    from lodestack.storage import materialize
+
+    target = folder if urlsplit(folder).scheme else f"file://{folder}"
+
+    def save(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(target)
+        fs.create_dir(base, recursive=True)
+        sink, done = None, []
+
+        def close():
+            sink.close()
+            done.append((path, count, size, digest.hexdigest()))
+
+        for b in batches:
+            for line in b.column("line").to_pylist():
+                raw = line.encode() + b"\n"
+                if sink is not None and (count == per_file or size + len(raw) > max_bytes):
+                    close()
+                    sink = None
+                if sink is None:
+                    path = f"{base}/{uuid.uuid4().hex}.ndjson"
+                    sink, count, size, digest = fs.open_output_stream(path, compression=None), 0, 0, hashlib.sha256()
+                sink.write(raw)
+                digest.update(raw)
+                count, size = count + 1, size + len(raw)
+        if sink is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["path", "documents", "bytes", "sha256"])
+
+    lines = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("line"))
+    return materialize(lines.mapInArrow(save, "path string, documents long, bytes long, sha256 string"), "shards")
+
+
+def wiki_dump(spark: SparkSession, paths: str | list[str], limit: int | None = None) -> DataFrame:
+    """Documents of extracted wiki dumps: lines of {id, revid, url, title, text}, plain, .gz or .bz2. The first of each id in the order of files and lines
+    stays; with ``limit``, only the first so many documents."""
+    pages = spark.read.schema("id string, revid long, url string, title string, text string").json(paths)
+    pages = pages.withColumn("n", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))).where("id is not null and text is not null")
+    if limit is None:
+        return wiki_documents(pages)
+    return wiki_documents(pages, keep=("n",)).orderBy("n").limit(limit).drop("n")
 
 
 def convert(files: DataFrame, folder: str, collection: str, part_bytes: int = 1 << 20, per_file: int = 10_000, extractors: dict[str, Callable[[str], str]] | None = None) -> DataFrame:

@@ -170,7 +170,7 @@ def embed(passages: DataFrame, transport: Callable, batch: int = 1024, **options
 
 
 def embed_resumable(passages: DataFrame, folder: str, settings: str, transport: Callable, shards: int = 16, **options) -> DataFrame:
-    """embed(), one written table per shard: shards that an earlier run finished are kept, and other settings are a ValueError.
+    """embed(), one written table per shard: shards that an earlier run finished are kept, and other settings or other passages are a ValueError.
 
     A shard counts as finished once its write has committed, so a run that was cut off repeats that shard only.
     """
@@ -178,9 +178,11 @@ def embed_resumable(passages: DataFrame, folder: str, settings: str, transport:
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     there = lambda path: fs.exists(jvm.org.apache.hadoop.fs.Path(path))
+    told = passages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("passage_id", "text").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    settings = f"{settings} of {told['n']} passages {told['h']}"
     if there(f"{folder}/settings"):
         if spark.read.text(f"{folder}/settings").first()[0] != settings:
-            raise ValueError("the folder holds embeddings made with other settings")
+            raise ValueError("the folder holds embeddings made with other settings or of other passages")
     else:
         spark.createDataFrame([(settings,)], "value string").coalesce(1).write.text(f"{folder}/settings")
     for k in range(shards):

@@ -1,3 +1,6 @@
+import bz2
+import gzip
+import hashlib
 import json
 import os
 import shutil
@@ -105,5 +108,26 @@ def test_embeddings_resume(spark, tmp_path):
     at = str(tmp_path / "e")
     assert ingest.embed_resumable(p, at, "m1", transport, 3).count() == 20
     assert {r.passage_id: r.embedding for r in ingest.embed_resumable(p, at, "m1", broken, 3).collect()}["7"] == [7.0]
-    with pytest.raises(ValueError):
-        ingest.embed_resumable(p, at, "m2", transport, 3)
+    for passages, settings in ((p, "m2"), (p.where("passage_id <> '3'"), "m1")):
+        with pytest.raises(ValueError):
+            ingest.embed_resumable(passages, at, settings, transport, 3)
+
+
+def test_shards_rotate_by_bytes_and_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "é" * (i % 50)) for i in range(200)] + [(999, "x" * 5000)], "id long, body string").repartition(3)
+    m = EX.write_shards(rows, str(tmp_path / "s"), per_file=40, max_bytes=2000).collect()
+    assert sum(r.documents for r in m) == 201 and len(m) > 8
+    for r in m:
+        raw = open(r.path, "rb").read()
+        assert (len(raw), raw.count(b"\n"), hashlib.sha256(raw).hexdigest()) == (r.bytes, r.documents, r.sha256) and r.documents <= 40 and (r.bytes <= 2000 or r.documents == 1)
+    assert spark.read.json(str(tmp_path / "s")).count() == 201
+
+
+def test_wiki_dumps(spark, tmp_path):
+    page = lambda i, t: json.dumps(dict(id=i, revid=1, url="http://w/" + i, title=" T ", text=t))
+    (tmp_path / "a.jsonl.bz2").write_bytes(bz2.compress("\n".join([page("100", "first "), page("101", "  "), page("100", "again")]).encode()))
+    (tmp_path / "b.jsonl.gz").write_bytes(gzip.compress("\n".join([page("100", "late"), page("102", "other")]).encode()))
+    assert sorted((r.id, r.title, r.body) for r in EX.wiki_dump(spark, str(tmp_path)).collect()) == [("100", "T", "first"), ("102", "T", "other")]
+    assert [r.id for r in EX.wiki_dump(spark, str(tmp_path), 1).collect()] == ["100"]
+    paths = spark.createDataFrame([("a/x.txt",), ("b/x.txt",), ("a/y.md",)], "path string")
+    assert [r.path for r in EX.select_groups(paths, [["^a/", "^c/"], ["txt$"]]).collect()] == ["a/x.txt"]
