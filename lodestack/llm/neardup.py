@@ -13,7 +13,7 @@ Texts with equal shingle sets form a *class*; classes are joined, and copies are
    correct if it depends on the token alone, so a full bitmap or a truncated list costs time, not links.
 4. ``verify``: sets of candidate classes are recomputed and sent to the tiles (pairs of hash buckets) in which they have a pair; the
    number of buckets follows the measured size, so a tile holds about ``TILE_BYTES``, and tiles of many pairs are split, so it holds
-   about ``TILE_PAIRS`` of them. A tile gives no links, but each class's number of linked rows and a spanning forest: rows in proportion to its classes.
+   about ``TILE_PAIRS`` of them. Prefix tokens of more than ``HOT`` classes make no pairs: see ``families``. A tile gives no links, but each class's number of linked rows and a spanning forest: rows in proportion to its classes.
 5. ``components``: alternating large-star and small-star steps, each stored.
 
 No group is collected: hot tokens are joined by sort-merge (split by AQE), tiles are bounded, hot classes are one row.
@@ -40,6 +40,11 @@ BUCKET_TOKENS = 2_000_000
 FLUSH_TOKENS = 4_000_000
 TILE_BYTES = 16 << 20
 TILE_PAIRS = 1_000_000
+HOT = 128
+BLOCK_BYTES = 4 << 20
+BLOCK_CLASSES = 1024
+#: Marks of a class whose first hot token is the one at hand, and of those in small groups; no token of the first order has low bits.
+_FIRST, _MISC = 1, 2
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -226,28 +231,125 @@ def prefixes(docs: DataFrame, order, percent: int, orders: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "tok long, cid long, n long, pos long")
 
 
+def with_hot(prefix: DataFrame) -> DataFrame:
+    """prefix plus ``hot``: whether more than HOT classes have the token."""
+    sizes = prefix.groupBy("tok").count().where(F.col("count") > HOT).select("tok", F.lit(True).alias("_hot"))
+    return prefix.join(sizes, "tok", "left").select(*prefix.columns, F.coalesce("_hot", F.lit(False)).alias("hot"))
+
+
 def candidates(prefix: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs of classes (c1, n1) < (c2, n2) that pass the filters of all orders; prefix is a stored table."""
-    a = prefix.select("tok", F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    b = prefix.select("tok", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    """Pairs of classes (c1, n1) < (c2, n2) that share a token of the first order which isn't hot, and pass the filters of all orders. Where both have
+    hot tokens under another order they may share one, so that order doesn't tell them apart. prefix (with_hot) is a stored table."""
+    cool = prefix.where("not hot")
+    a = cool.select("tok", F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
+    b = cool.select("tok", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     need = f"{percent} * (n1 + n2) <= {100 + percent} * (least(p1, p2) + 1 + least(n1 - p1, n2 - p2) - 1)"
     fits = f"(c1 < c2 or (c1 = c2 and n1 < n2)) and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {need}"
     pairs = a.join(b, "tok").where(fits)
-    seen = pairs.groupBy("c1", "n1", "c2", "n2").agg(F.bit_or(F.expr("shiftleft(1, cast(tok & 3 as int))")).alias("seen"))
-    return seen.where(F.col("seen") == (1 << orders) - 1).drop("seen")
+    bit = F.bit_or(F.expr("shiftleft(1, cast(tok & 3 as int))"))
+    seen = pairs.groupBy("c1", "n1", "c2", "n2").agg(bit.alias("seen")).where("seen & 1 = 1")
+    masks = prefix.where("hot").groupBy("cid", "n").agg(bit.alias("mask"))
+    for k in (1, 2):
+        seen = seen.join(masks.select(F.col("cid").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("mask").alias(f"m{k}")), [f"c{k}", f"n{k}"], "left")
+    every = F.col("seen").bitwiseOR(F.coalesce(F.col("m1").bitwiseAND(F.col("m2")), F.lit(0)))
+    return seen.where(every == (1 << orders) - 1).select("c1", "n1", "c2", "n2")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of a shares with each of b, by matrix products over the tokens that both sides have, some at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(common):
+        return out.astype(np.int64)
+    for sets in (a, b):
+        tokens, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        on = common[at] == tokens
+        order = np.argsort(at[on], kind="stable")
+        sides.append((at[on][order], row[on][order], len(sets)))
+    for low in range(0, len(common), 4096):
+        width, grids = min(4096, len(common) - low), []
+        for at, row, k in sides:
+            i, j = np.searchsorted(at, (low, low + width))
+            grid = np.zeros((k, width), np.float32)
+            grid[row[i:j], at[i:j] - low] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def families(docs: DataFrame, prefix: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """What ``verify`` gives, for the linked classes that share hot tokens of the first order and no others; rows in proportion to the blocks, never pairs.
+
+    The classes of a hot token are split into blocks; a tile is two blocks, compared by matrix products of their sets. A pair
+    counts at its first hot token only, and not at all if it shares a token that isn't hot. Classes are
+    grouped by their first hot token, since two of one group have met there, so the tokens of one family don't repeat its work. prefix (with_hot) and sizes are stored tables.
+    """
+    lists = prefix.where("tok & 3 = 0").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "tok", "hot"))).alias("_l"))  # a class's prefix
+    own = lambda hot: F.transform(F.filter("_l", lambda x: x["hot"] == F.lit(hot)), lambda x: x["tok"])
+    lists = lists.select("cid", "n", own(True).alias("hots"), own(False).alias("cools")).where(F.size("hots") > 0)
+    rows = lists.select("cid", "n", "hots", "cools", F.posexplode("hots").alias("_j", "tok"))
+    rows = rows.select("tok", "cid", "n", F.when(F.col("_j") > 0, F.col("hots")[0]).otherwise(_FIRST).alias("f"), F.concat(F.expr("slice(hots, 1, _j)"), "cools").alias("before"))
+    rows = materialize(rows, "family-members")
+    groups = rows.groupBy("tok", "f").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+    groups = groups.withColumn("g", F.when((F.col("f") == _FIRST) | (F.col("k") >= BLOCK_CLASSES // 4), F.col("f")).otherwise(_MISC))
+    pools = groups.groupBy("tok", "g").agg(F.greatest(F.ceil(F.sum("k") / BLOCK_CLASSES), F.ceil(8 * F.sum("t") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    groups = materialize(groups.join(pools, ["tok", "g"]).select("tok", "f", "g", "blocks"), "family-groups")
+    blocks = groups.select("tok", "g", "blocks").distinct().select("tok", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    a, b = (blocks.select("tok", F.col("g").alias(f"g{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
+    tiles = a.join(b, "tok").where(f"(g1 < g2 or (g1 = g2 and k1 <= k2)) and (g1 <> g2 or g1 in ({_FIRST}, {_MISC}))")
+    tiles = materialize(tiles, "family-tiles")
+    placed = rows.join(groups, ["tok", "f"]).withColumn("k", F.pmod(F.xxhash64("cid", "n"), F.col("blocks")).cast("int")).select("tok", "g", "k", "cid", "n", "before")
+    tile = ["tok", "g1", "k1", "g2", "k2"]
+    side = lambda i: placed.withColumnsRenamed({"g": f"g{i}", "k": f"k{i}"}).join(tiles, ["tok", f"g{i}", f"k{i}"]).select(*tile, F.lit(i).alias("side"), "cid", "n", "before")
+    members = side(1).unionByName(side(2).where("g1 <> g2 or k1 <> k2"))
+    wanted = rows.select("cid", "n").distinct()
+    stored = class_sets(docs, wanted).dropDuplicates(["cid", "n"])
+    whole = members.join(stored, ["cid", "n"]).join(sizes.select("cid", "n", "class_size"), ["cid", "n"]).select(*tile, "side", "cid", "n", "class_size", "before", "tokens")
+
+    def check(table):
+        import pyarrow as pa
+
+        sides = np.asarray(table.column("side").combine_chunks())
+        ids = list(zip(table.column("cid").to_pylist(), table.column("n").to_pylist()))
+        weight, n = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("class_size", "n"))
+        tokens = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens").combine_chunks()]
+        before = [np.asarray(x, np.int64) for x in table.column("before").to_pylist()]
+        one = np.flatnonzero(sides == 1)
+        same = not (sides == 2).any()  # a block with itself; a tile without its other block has no pairs either way
+        two = one if same else np.flatnonzero(sides == 2)
+        rows = []
+        if len(one) and len(two):
+            pick = lambda x, at: [x[i] for i in at]
+            both = shared_counts(pick(tokens, one), pick(tokens, two))
+            ok = 100 * both >= percent * (n[one][:, None] + n[two][None, :] - both)
+            if same:
+                ok = np.triu(ok, 1)
+            if ok.any():
+                ok &= shared_counts(pick(before, one), pick(before, two)) == 0
+            linked = np.zeros(len(ids), np.int64)
+            linked[one] += (ok * weight[two][None, :]).sum(axis=1)
+            linked[two] += (ok * weight[one][:, None]).sum(axis=0)
+            label = np.arange(len(ids))
+            while True:  # the smallest number that each can reach
+                old = label.copy()
+                label[one] = np.minimum(label[one], np.where(ok, label[two][None, :], len(ids)).min(axis=1))
+                label[two] = np.minimum(label[two], np.where(ok, label[one][:, None], len(ids)).min(axis=0))
+                if (old == label).all():
+                    break
+            rows = [(*ids[i], *ids[label[i]], None) for i in np.flatnonzero(label != np.arange(len(ids)))] + [(*ids[i], None, None, int(linked[i])) for i in np.flatnonzero(linked)]
+        return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("c1", "n1", "c2", "n2", "linked"))})
 
+    return whole.groupBy(*tile).applyInArrow(check, "c1 long, n1 long, c2 long, n2 long, linked long")
 
-def verify(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """What the pairs whose exact Jaccard is at least percent / 100 come to: rows (c1, n1, c2, n2) of spanning forests, and rows
-    (c1, n1, linked) with the rows of classes linked with c1, both in parts to be united and summed. pairs and sizes (cid, n, class_size) are stored tables."""
+
+def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, n, tokens) of the wanted classes (cid, n), and of a few others, once per task at most: texts are hashed again, and a bounded filter of
+    classes keeps the others from being sent."""
     spark = docs.sparkSession
-    classes = pairs.select(F.col("c1").alias("cid"), F.col("n1").alias("n")).unionByName(pairs.select(F.col("c2").alias("cid"), F.col("n2").alias("n"))).distinct()
-    total = classes.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    if total["k"] == 0:
-        return pairs.withColumn("linked", F.lit(None).cast("long"))
-    bits = min(26, max(16, math.ceil(math.log2(total["k"])) + 4))
+    bits = min(26, max(16, math.ceil(math.log2(max(1, classes.count()))) + 4))
     width = 1 << bits
-    # a bounded filter of wanted classes; what it lets through wrongly is dropped by the join below
     bucketed = classes.select(F.shiftrightunsigned("cid", 64 - bits).alias("b")).distinct()
 
     def marks(batches):
@@ -284,6 +386,16 @@ def verify(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) ->
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    return docs.select(F.col("text").cast("string")).mapInArrow(sets, "cid long, n long, tokens binary")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """What the pairs whose exact Jaccard is at least percent / 100 come to: rows (c1, n1, c2, n2) of spanning forests, and rows
+    (c1, n1, linked) with the rows of classes linked with c1, both in parts to be united and summed. pairs and sizes (cid, n, class_size) are stored tables."""
+    classes = pairs.select(F.col("c1").alias("cid"), F.col("n1").alias("n")).unionByName(pairs.select(F.col("c2").alias("cid"), F.col("n2").alias("n"))).distinct()
+    total = classes.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    if total["k"] == 0:
+        return pairs.withColumn("linked", F.lit(None).cast("long"))
     buckets = max(2, math.ceil(2 * 8 * total["n"] / TILE_BYTES))
     bucket = lambda c: F.pmod(c, F.lit(buckets))
     tiled = pairs.withColumn("b1", bucket(F.col("c1"))).withColumn("b2", bucket(F.col("c2")))
@@ -292,7 +404,7 @@ def verify(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) ->
     tiled = tiled.join(held, ["ti", "tj"]).withColumn("part", F.pmod(F.xxhash64("c1", "n1", "c2", "n2"), F.col("parts"))).drop("parts")
     own = lambda k: tiled.select("ti", "tj", "part", F.col(f"c{k}").alias("cid"), F.col(f"n{k}").alias("n"))
     places = own(1).unionByName(own(2)).distinct().join(sizes.select("cid", "n", "class_size"), ["cid", "n"])
-    stored = docs.select(F.col("text").cast("string")).mapInArrow(sets, "cid long, n long, tokens binary")
+    stored = class_sets(docs, classes)
     placed = places.join(stored, ["cid", "n"]).select(F.col("ti").alias("si"), F.col("tj").alias("sj"), F.col("part").alias("sp"), "cid", "n", "class_size", "tokens")
 
     def check(left, right):
@@ -365,8 +477,12 @@ def _grouped(d: DataFrame, row: str, percent: int, orders: int) -> DataFrame:
     if tokens == 0:
         return rows.select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), "_key", F.lit(None).cast("string").alias("root"))
     prefix = materialize(prefixes(d, frequency_order(d, tokens), percent, orders).distinct(), "prefixes")
+    prefix = materialize(with_hot(prefix), "prefixes")
     pairs = materialize(candidates(prefix, percent, orders), "candidates")
-    links = materialize(verify(d, pairs, classes, percent), "links")
+    links = verify(d, pairs, classes, percent)
+    if prefix.where("hot and tok & 3 = 0").limit(1).count():
+        links = links.unionByName(families(d, prefix, classes, percent))
+    links = materialize(links, "links")
     degree = links.where("c2 is null").groupBy(F.col("c1").alias("cid"), F.col("n1").alias("n")).agg(F.sum("linked").alias("linked"))
     roots = components(links.where("c2 is not null").select(F.concat_ws(":", "c1", "n1").alias("a"), F.concat_ws(":", "c2", "n2").alias("b")))
     found = classes.join(degree, ["cid", "n"], "left").where("class_size > 1 or linked is not null")

@@ -83,6 +83,8 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, tight):
         monkeypatch.setattr(neardup, "MAX_BITS", 1 << 8)
         monkeypatch.setattr(neardup, "TILE_BYTES", 1 << 12)
         monkeypatch.setattr(neardup, "TILE_PAIRS", 7)
+        monkeypatch.setattr(neardup, "HOT", 3)
+        monkeypatch.setattr(neardup, "BLOCK_CLASSES", 8)
         monkeypatch.setattr(neardup, "FLUSH_TOKENS", 500)
     rows = data()
     got = [(r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard_groups(cases.stored(spark, tmp_path / "d", rows)).collect()]
@@ -90,6 +92,26 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, tight):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
+def test_a_large_family_makes_rows_in_proportion(spark, tmp_path, monkeypatch):
+    """Near copies of one text, all alike in their prefixes: no pairs, a few rows per copy, and brute force's numbers of links."""
+    rng, n = random.Random(3), 700
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 1, 1, 1, ""))
+    sent = {}
+    for name in ("candidates", "families", "verify"):
+        monkeypatch.setattr(neardup, name, lambda *a, f=getattr(neardup, name), name=name: sent.setdefault(name, f(*a)))
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 100)
+    got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in jaccard_groups(cases.stored(spark, tmp_path / "d", rows)).collect()}
+    assert got == {d: tuple(rest) for d, *rest in brute(rows)}
+    links = sum(x[1] for x in got.values()) // 2
+    assert sent["candidates"].count() <= n * neardup.HOT // 2 < links and sent["families"].count() < 40 * n
+
+
 def test_one_of_each_group_stays(spark, tmp_path):
     rows = data()
     d = cases.stored(spark, tmp_path / "d", rows)
