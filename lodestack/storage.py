@@ -10,6 +10,7 @@ import tempfile
 import time
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -161,10 +162,27 @@ def cleanup() -> None:
             pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once below the shared folder and read it back: computed once, and safe against lost executors."""
+_kept: set[str] = set()
+
+
+@contextmanager
+def scratch():
+    """Tables that materialize() writes inside go at the end, but for those written with ``keep``: for what only those are computed from."""
+    before = {path for _, path in _folders}
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _folders if x[1] not in before and x[1] not in _kept]:
+            _folders.remove((spark, path))
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df once below the shared folder and read it back: computed once, and safe against lost executors. ``keep``: beyond scratch()."""
     spark = df.sparkSession
     ship(spark)
     path = new_folder(spark, name)
+    if keep:
+        _kept.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
