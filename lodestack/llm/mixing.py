@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import text_of
-from lodestack.storage import materialize
+from lodestack.storage import materialize, scratch
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -250,6 +250,8 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     at all, and an empty docs gives no rows.
     """
     keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_row_id")), "rows")
-    mixed = _mixed(keyed.select("_row.doc_id", "_row.source", "_row.text", "_row_id"), weights, cap, seed)
-    repeated = keyed.join(mixed.where("times > 0").select("_row_id", "times"), "_row_id")
+    with scratch():
+        mixed = _mixed(keyed.select("_row.doc_id", "_row.source", "_row.text", "_row_id"), weights, cap, seed)
+        mixed = materialize(mixed.where("times > 0").select("_row_id", "times"), "times", keep=True)
+    repeated = keyed.join(mixed, "_row_id")
     return repeated.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("_row.*")

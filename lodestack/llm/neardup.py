@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.shingles import batch_words, mix, shingles, texts_of
-from lodestack.storage import materialize
+from lodestack.storage import materialize, scratch
 
 PERCENT = 90
 ORDERS = 2
@@ -457,6 +457,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def rooted(edges: DataFrame) -> DataFrame:
+    """components(), stored."""
+    with scratch():
+        return materialize(components(edges), "roots", keep=True)
+
+
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, n_similar, component_id, class_size.
 
@@ -476,15 +482,16 @@ def _grouped(d: DataFrame, row: str, percent: int, orders: int) -> DataFrame:
     tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     if tokens == 0:
         return rows.select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"), "_key", F.lit(None).cast("string").alias("root"))
-    prefix = materialize(prefixes(d, frequency_order(d, tokens), percent, orders).distinct(), "prefixes")
-    prefix = materialize(with_hot(prefix), "prefixes")
-    pairs = materialize(candidates(prefix, percent, orders), "candidates")
-    links = verify(d, pairs, classes, percent)
-    if prefix.where("hot and tok & 3 = 0").limit(1).count():
-        links = links.unionByName(families(d, prefix, classes, percent))
-    links = materialize(links, "links")
+    with scratch():
+        prefix = materialize(prefixes(d, frequency_order(d, tokens), percent, orders).distinct(), "prefixes")
+        prefix = materialize(with_hot(prefix), "prefixes")
+        pairs = materialize(candidates(prefix, percent, orders), "candidates")
+        links = verify(d, pairs, classes, percent)
+        if prefix.where("hot and tok & 3 = 0").limit(1).count():
+            links = links.unionByName(families(d, prefix, classes, percent))
+        links = materialize(links, "links", keep=True)
     degree = links.where("c2 is null").groupBy(F.col("c1").alias("cid"), F.col("n1").alias("n")).agg(F.sum("linked").alias("linked"))
-    roots = components(links.where("c2 is not null").select(F.concat_ws(":", "c1", "n1").alias("a"), F.concat_ws(":", "c2", "n2").alias("b")))
+    roots = rooted(links.where("c2 is not null").select(F.concat_ws(":", "c1", "n1").alias("a"), F.concat_ws(":", "c2", "n2").alias("b")))
     found = classes.join(degree, ["cid", "n"], "left").where("class_size > 1 or linked is not null")
     found = found.withColumn("v", key).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -500,7 +507,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> D
     Null, empty and wordless rows are in no group and stay. Texts are compared whole, however long. An empty docs gives no rows.
     """
     keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_key")), "rows")
-    judged = materialize(_grouped(keyed.select("_row.doc_id", "_row.text", "_key"), "_key", percent, orders).select("doc_id", "_key", "root"), "judged")
+    with scratch():
+        judged = _grouped(keyed.select("_row.doc_id", "_row.text", "_key"), "_key", percent, orders).select("doc_id", "_key", "root")
+        judged = materialize(judged, "judged", keep=True)
     first = judged.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("m")).select("m._key")
     stay = judged.where("root is null").select("_key").unionByName(first)
     return keyed.join(stay, "_key", "left_semi").select("_row.*")
