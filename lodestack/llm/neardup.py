@@ -38,6 +38,7 @@ MAX_HEAVY = 1 << 20
 HEAVY = 4
 BUCKET_TOKENS = 2_000_000
 FLUSH_TOKENS = 4_000_000
+COARSE = 12
 TILE_BYTES = 16 << 20
 TILE_PAIRS = 1_000_000
 HOT = 128
@@ -96,34 +97,59 @@ def frequency_order(docs: DataFrame, tokens: int) -> tuple[np.ndarray, int, np.n
     r = max(4, min(24, math.ceil(math.log2(max(1, tokens) / BUCKET_TOKENS + 1))))
     bits = max(r + 3, min(int(math.log2(MAX_BITS)), math.ceil(math.log2(max(1, tokens) + 1))))
 
-    def pack(batches):
+    coarse = min(r, COARSE)
+    names = ("bucket", "once", "more", "counts")
+    kinds = "bucket int, once binary, more binary, counts binary"
+
+    def rows_of(keys, counts, shift):
+        """Sorted keys and their counts as rows per bucket (the key's bits above shift): keys that occur once, the others, their counts."""
         import pyarrow as pa
 
-        schema = pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
-
-        def flush(held):
-            keys, counts = np.unique(mix(np.concatenate(held)) >> np.uint64(32 - r), return_counts=True)
-            bucket = (keys >> np.uint64(32)).astype(np.int64)
-            cut = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(keys)]])  # only buckets that have tokens here
-            rows = []
-            for a, b in zip(cut[:-1], cut[1:]):
-                k, c = keys[a:b].astype("<u4"), counts[a:b].astype("<u4")
-                one = c == 1
-                rows.append({"bucket": int(bucket[a]), "once": k[one].tobytes(), "more": k[~one].tobytes(), "counts": c[~one].tobytes()})
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
+        schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in names[1:]]])
+        bucket = (keys >> np.uint64(shift)).astype(np.int64)
+        cut = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(keys)]])  # only buckets that have tokens here
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            k, c = keys[a:b], counts[a:b].astype("<u4")
+            k = k.astype("<u4") if shift == 32 else k.astype("<u8")
+            one = c == 1
+            rows.append({"bucket": int(bucket[a]), "once": k[one].tobytes(), "more": k[~one].tobytes(), "counts": c[~one].tobytes()})
+            if len(rows) == 4096:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    def pack(batches):
         held, size = [], 0
         for _, s in _distinct_sets(batches):
             held.append(s)
             size += len(s)
             if size >= FLUSH_TOKENS:
-                yield from flush(held)
+                yield from rows_of(*np.unique(mix(np.concatenate(held)) >> np.uint64(32 - r), return_counts=True), 32 + r - coarse)
                 held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from rows_of(*np.unique(mix(np.concatenate(held)) >> np.uint64(32 - r), return_counts=True), 32 + r - coarse)
+
+    def split(batches):
+        """Rows of coarse buckets, together, as rows of the final ones."""
+        keys, counts, size, now = [], [], 0, None
+
+        def flush():
+            k, at = np.unique(np.concatenate(keys), return_inverse=True)
+            yield from rows_of(k, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64), 32)
+
+        for batch in batches:
+            for bucket, once, more, c in zip(*(batch.column(x).to_pylist() for x in names)):
+                if size and (bucket != now or size >= FLUSH_TOKENS):
+                    yield from flush()
+                    keys, counts, size = [], [], 0
+                now, one, many = bucket, np.frombuffer(once, "<u8"), np.frombuffer(more, "<u8")
+                keys += [one, many]
+                counts += [np.ones(len(one), np.int64), np.frombuffer(c, "<u4").astype(np.int64)]
+                size += len(one) + len(many)
+        if size:
+            yield from flush()
 
     def count(table):
         import pyarrow as pa
@@ -147,7 +173,9 @@ def frequency_order(docs: DataFrame, tokens: int) -> tuple[np.ndarray, int, np.n
             {"bucket": pa.array([b], pa.int32()), "bits": pa.array([np.packbits(slice_).tobytes()], pa.binary()), "keys": pa.array([full.astype("<u8").tobytes()], pa.binary()), "levels": pa.array([np.log2(df[heavy]).astype(np.uint8).tobytes()], pa.binary())}
         )
 
-    packed = docs.select(F.col("text").cast("string")).mapInArrow(pack, "bucket int, once binary, more binary, counts binary")
+    packed = docs.select(F.col("text").cast("string")).mapInArrow(pack, kinds)
+    if r > coarse:  # so many buckets that a task's tokens would be spread too thin: two passes, as in a radix sort
+        packed = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(split, kinds)
     counted = materialize(packed.groupBy("bucket").applyInArrow(count, "bucket int, bits binary, keys binary, levels binary"), "token-counts")
 
     def histogram(batches):

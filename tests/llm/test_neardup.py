@@ -84,6 +84,7 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, tight):
         monkeypatch.setattr(neardup, "TILE_BYTES", 1 << 12)
         monkeypatch.setattr(neardup, "TILE_PAIRS", 7)
         monkeypatch.setattr(neardup, "HOT", 3)
+        monkeypatch.setattr(neardup, "COARSE", 2)
         monkeypatch.setattr(neardup, "BLOCK_CLASSES", 8)
         monkeypatch.setattr(neardup, "FLUSH_TOKENS", 500)
     rows = data()
