@@ -83,6 +83,7 @@ class Index:
         ship(spark)
         self.spark, self.folder, self.config, self.hooks = spark, str(folder).rstrip("/"), config, hooks or {}
         self.files = Files(spark)
+        self._seen: dict[int, dict] = {}  # statistics of generations, which never change
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, config: IndexConfig) -> "Index":
@@ -200,6 +201,8 @@ class Index:
 
     def _known(self, snap: Snapshot) -> dict:
         """Statistics of a generation, visible and physical, and the number of its superseded rows: computed once, then read."""
+        if snap.generation in self._seen:
+            return self._seen[snap.generation]
         path = f"{self.folder}/_stats/{snap.generation}.json"
         if not self.files.exists(path):
             narrow = self._table("events", "op string, id string, generation long", snap.segments)
@@ -213,7 +216,8 @@ class Index:
                 live = objects.join(self._stale(snap).withColumnRenamed("id", PARENT[scope]), [PARENT[scope], "generation"], "left_anti")
                 known[scope] = lexical.index_stats(live, list(fields)) if known["stale"] else known[f"physical-{scope}"]
             self.files.write_new(path, json.dumps(known))
-        return json.loads(self.files.read(path))
+        self._seen[snap.generation] = json.loads(self.files.read(path))
+        return self._seen[snap.generation]
 
     def _stale(self, snap: Snapshot) -> DataFrame:
         return self.spark.read.schema("id string, generation long").parquet(f"{self.folder}/_stale/{snap.generation}")

@@ -286,7 +286,13 @@ def test_build_and_command_line(spark, tmp_path, capsys):
     assert main(["search", "common", *at, "--limit", "2"], spark) == 0
     answer = json.loads(capsys.readouterr().out)
     assert [h["id"] for h in answer["hits"]] == ["d0", "d2"] and answer["next_cursor"]
-    assert main(["compact", *at], spark) == 0 and main(["verify", *at], spark) == 0
+    assert main(["search", "common", *at, "--limit", "2", "--cursor", answer["next_cursor"]], spark) == 0
+    assert [h["id"] for h in json.loads(capsys.readouterr().out)["hits"]] == ["d3", "d4"]
+    assert main(["retrieve", "common", *at, "--limit", "1"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["context"] == "common words 0"
+    assert main(["compact", *at], spark) == 0 and main(["verify", *at], spark) == 0 and main(["maintain", *at], spark) == 0
+    with pytest.raises(ValueError, match="line.: 3"):
+        Index.build(spark, str(tmp_path / "no"), IndexConfig(), spark.createDataFrame([(2, good[0]), (3, "{}"), (4, "[")], "line int, value string"))
 
 
 def test_physical_statistics_return_after_compaction(spark, tmp_path):
