@@ -253,5 +253,5 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
     with scratch():
         mixed = _mixed(keyed.select("_row.doc_id", "_row.source", "_row.text", "_row_id"), weights, cap, seed)
         mixed = materialize(mixed.where("times > 0").select("_row_id", "times"), "times", keep=True)
-    repeated = keyed.join(mixed, "_row_id")
+    repeated = keyed.join(mixed.hint("merge"), "_row_id")  # a number per row: too many to broadcast wherever it counts
     return repeated.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("_row.*")
