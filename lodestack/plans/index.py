@@ -416,9 +416,7 @@ class Index:
         def merge(scope: str) -> None:
             snap = Snapshot(0, before | {"segments": old})
             post = self._postings(scope, snap, False).postings()
-            place = {"bucket": _bucket("term", buckets), "_salt": F.pmod(F.xxhash64("id"), F.lit(min(lexical.SALTS, buckets)))}
-            post = only(post, live, PARENT[scope]).withColumns(place).repartition("bucket", "_salt").drop("_salt")
-            post.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings-{scope}")
+            lexical.store_postings(only(post, live, PARENT[scope]), f"{at}/postings-{scope}", buckets)
             self._write_rows(only(self._objects(scope, snap), live, PARENT[scope]), "id", "id", buckets, f"{at}/objects-{scope}")
 
         self._together(

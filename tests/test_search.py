@@ -171,3 +171,17 @@ def test_ranking_quality(spark):
     r = run(["good", "best", "irrelevant"])
     assert 0.83 < r.ndcg < 0.84 and r.mrr == 1 and r.recall == 1
     assert run(["good", "good"]).recall == 0.5 and run(["none", "good"]).mrr == 0.5
+
+
+def test_objects_are_inverted_without_a_shuffle(spark, tmp_path, monkeypatch):
+    rows = [(i, "the quick\tfox" if i % 3 else None, f"brown {'the ' * (i % 4)}état w{i} fox") for i in range(40)] + [(41, "", ""), (42, None, None)]
+    docs = spark.createDataFrame(rows, "id long, title string, body string").repartition(3)
+    monkeypatch.setattr(lexical, "INVERT", 7)  # many chunks a batch
+    key = lambda df: sorted(map(str, df.select("term", "id", *[f"{c}_{f}" for f in AREA for c in ("tf", "len", "pos")]).collect()))
+    for objects in (docs, docs.withColumn("id", F.expr("id div 2"))):  # ids that repeat are merged
+        want = key(lexical.postings(lexical.occurrences(objects, AREA), AREA, positions=True))
+        assert key(lexical.object_postings(objects, AREA)) == want
+        index = lexical.build_index(objects, AREA, str(tmp_path / f"ix{len(want)}"))
+        assert key(index.postings()) == want
+    plan = lexical.object_postings(docs, AREA, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == docs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the source
