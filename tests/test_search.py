@@ -185,3 +185,20 @@ def test_objects_are_inverted_without_a_shuffle(spark, tmp_path, monkeypatch):
         assert key(index.postings()) == want
     plan = lexical.object_postings(docs, AREA, unique=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == docs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the source
+
+
+def test_batches_of_queries_are_scored_in_blocks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"the t{i % 5}", f"{'the ' * (i % 3)}fox w{i % 7} of t{i % 4} z{i % 11}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "id long, title string, body string")
+    queries = spark.createDataFrame([(q, f"the fox w{q % 7} t{q % 5} none z{q}") for q in range(30)] + [(30, "nothing"), (31, None)], "query_id long, query string")
+    index = lexical.build_index(docs, AREA, str(tmp_path / "ix"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    many = key(index.score_many(queries, 4))
+    for q in (0, 13, 29):
+        one = [(r.id, r.score) for r in lexical.top(index.score(["the", "fox", f"w{q % 7}", f"t{q % 5}", "none", f"z{q}"]), 4).collect()]
+        assert [(i, x) for n, _, i, x in many if n == q] == one
+    for name, size in (("QUERY_BLOCK", 8), ("POSTING_BLOCK", 50), ("MATRIX", 64), ("AT_ONCE", 3)):
+        monkeypatch.setattr(lexical, name, size)
+    found = index.score_many(queries, 4)
+    assert key(found) == many and {q for q, *_ in many} == set(range(30))
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
