@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ NEIGHBOURS = 10
 SEED = 20240607
 #: Vectors and queries of one block at most, about.
 BLOCK = 16384
+#: Scores that are held at once, about, so 8 bytes times a few of them.
+SCORES = 1 << 20
 
 
 def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -42,6 +46,12 @@ def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return s
 
 
+def _tiles(n: int, width: int):
+    """Slices of n rows that have SCORES cells at most, or one row."""
+    step = max(1, SCORES // max(1, width))
+    return (slice(at, min(at + step, n)) for at in range(0, n, step))
+
+
 @dataclass(frozen=True)
 class AnnModel:
     metric: str
@@ -50,10 +60,11 @@ class AnnModel:
 
     def cells(self, x: np.ndarray, n: int = 1) -> np.ndarray:
         """The n best cells of each vector, best first."""
-        s = _scores(self.metric, x, self.centroids)
-        if n == 1:
-            return np.argmax(s, axis=1)[:, None]
-        return np.argsort(-s, axis=1, kind="stable")[:, :n]
+        out = np.empty((len(x), min(n, len(self.centroids))), np.int32)
+        for at in _tiles(len(x), len(self.centroids)):
+            s = _scores(self.metric, x[at], self.centroids)
+            out[at] = np.argmax(s, axis=1)[:, None] if n == 1 else np.argsort(-s, axis=1, kind="stable")[:, :n]
+        return out
 
     def dump(self) -> str:
         return json.dumps({"metric": self.metric, "probes": self.probes, "centroids": self.centroids.tolist()})
@@ -70,7 +81,7 @@ def fit_sample(x: np.ndarray, metric: str, cells: int, target: float = TARGET, n
     cells = max(1, min(cells, len(x)))
     c = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(ROUNDS):
-        near = np.argmax(_scores(metric, x, c), axis=1)
+        near = AnnModel(metric, c, cells).cells(x)[:, 0]
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         size = np.bincount(near, minlength=cells)
@@ -101,6 +112,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A matrix of a column of vectors of one length."""
+    sizes = pc.unique(pc.list_value_length(column))
+    if len(sizes) > 1 or column.null_count:
+        raise ValueError("vectors have to be there and of one length")
+    flat = column.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def cell_of(model: AnnModel, vectors: DataFrame, vector: str = "embedding") -> Column:
     """The cell of each vector, in Arrow batches."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)  # MAX_CELLS centroids at most
@@ -135,21 +155,25 @@ def block_search(vectors: DataFrame, queries: DataFrame, metric: str, k: int, ke
     right = wide.join(F.broadcast(held), "cell").withColumn("qp", part("q", "qs"))
     right = right.withColumn("vp", F.explode(F.sequence(F.lit(0), F.col("vs") - 1))).select("cell", "vp", "qp", "q", "qv")
 
-    def best(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(asked):
-            return pd.DataFrame({"q": [], "_key": []})
-        mine = mine.sort_values("_key", kind="stable")
-        x, keys, out, m = _matrix(mine["_v"]), mine["_key"].to_numpy(), [], min(k, len(mine))
-        for at in range(0, len(asked), 1024):
-            some = asked.iloc[at : at + 1024]
-            s = np.round(_scores(metric, _matrix(some["qv"]), x), 6)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-            out.append(pd.DataFrame({"q": np.repeat(some["q"].to_numpy(), m), "_key": keys[top].reshape(-1)}))
-        return pd.concat(out)
+    def best(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {"q": [], "_key": []}
+        if mine.num_rows and asked.num_rows:
+            mine = mine.take(pc.array_sort_indices(mine["_key"].combine_chunks()))
+            x, m = _rows(mine["_v"]), min(k, mine.num_rows)
+            for at in _tiles(asked.num_rows, len(x)):
+                some = asked.slice(at.start, at.stop - at.start)
+                s = np.round(_scores(metric, _rows(some["qv"]), x), 6)
+                least = np.partition(s, len(x) - m, axis=1)[:, len(x) - m, None]
+                more = s > least
+                tied = s == least
+                i, j = np.nonzero(more | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= m - more.sum(axis=1)[:, None])))  # of ties the first, by key
+                out["q"].append(some["q"].combine_chunks().take(pa.array(i)))
+                out["_key"].append(mine["_key"].combine_chunks().take(pa.array(j)))
+        return pa.table({"q": pa.chunked_array(out["q"], asked.schema.field("q").type), "_key": pa.chunked_array(out["_key"], mine.schema.field("_key").type)})
 
     names = ["cell", "vp", "qp"]
     types = {f.name: f.dataType.simpleString() for f in left.schema} | {f.name: f.dataType.simpleString() for f in right.schema}
-    found = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(best, f"q {types['q']}, _key {types['_key']}")
+    found = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(best, f"q {types['q']}, _key {types['_key']}")
     scored = found.join(vectors.select(F.col(key).alias("_key"), F.col(vector).alias("_v")), "_key").join(queries.select("q", "qv"), "q")
     scored = scored.select("q", F.col("_key").alias(key), F.round(vector_score(metric, F.col("qv"), F.col("_v")), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), key)))

@@ -202,3 +202,23 @@ def test_batches_of_queries_are_scored_in_blocks(spark, tmp_path, monkeypatch):
     found = index.score_many(queries, 4)
     assert key(found) == many and {q for q, *_ in many} == set(range(30))
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_held_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 8))
+    model = ann.AnnModel("cosine", rng.standard_normal((500, 8)), 40)
+    near, many = model.cells(x), model.cells(x, 40)
+    seen = []
+    scores = ann._scores
+    monkeypatch.setattr(ann, "_scores", lambda m, q, v: seen.append(len(q) * len(v)) or scores(m, q, v))
+    monkeypatch.setattr(ann, "SCORES", 1 << 14)
+    assert (model.cells(x) == near).all() and (model.cells(x, 40) == many).all() and max(seen) <= 1 << 14
+    df = spark.createDataFrame([(i, [float(v) for v in x[i // 3]]) for i in range(600)], "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    got = {}
+    for r in ann.exact_search(df, q, "cosine", 10).collect():  # copies tie, so some are cut by key
+        got.setdefault(r.q, []).append((-r.score, r.vec_id))
+    e = np.array([x[i // 3] for i in range(600)], np.float32).astype(np.float64)
+    s = np.round((e @ e.T) / np.outer(np.linalg.norm(e, axis=1), np.linalg.norm(e, axis=1)), 6)
+    assert len(got) == 24 and all([v for _, v in sorted(got[i])] == np.lexsort((np.arange(600), -s[i]))[:10].tolist() for i in got)
